@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lorekeep.llm import quality, runtime, sql
+from lorekeep.llm import quality, runtime, sharding, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +16,12 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs).drop("text", "rejected_by")
 
 
+def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(runtime.table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_quality_cascade,)}
+    return {f.__name__: f for f in (op6_minimax_shards, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
