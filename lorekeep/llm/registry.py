@@ -2,26 +2,56 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import quality, runtime, sharding, sql
+from lorekeep.llm import packing, quality, runtime, secrets, sharding, sql, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.piece_counts(runtime.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op8_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(runtime.table(spark, sf_dir, "documents"), *bpe_50k())
+
+
+def bpe_50k() -> tuple[str, str, dict[str, int]]:
+    """The rank file with the vocabulary of byte_bpe_50k.json, its word pattern and its special token."""
+    import public_tokenizers
+
+    return tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
+
+
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_report(docs).drop("text", "rejected_by")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizers are installed, on the driver as on executors; LOREKEEP_TOKENIZERS overrides it."""
+    folder = os.environ.get("LOREKEEP_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_secret_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.scan(runtime.table(spark, sf_dir, "documents")))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(runtime.table(spark, sf_dir, "documents"), shards=24)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_minimax_shards, op10_quality_cascade)}
+    return {f.__name__: f for f in (op3_secret_structure, op6_minimax_shards, op7_wordpiece_counts, op8_concat_and_cut, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
