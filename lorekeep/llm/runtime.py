@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -47,10 +49,12 @@ def ship(spark: SparkSession) -> None:
     on_path = str(PACKAGE.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if (sc.master.split("[")[0] == "local" and on_path) or getattr(sc, "_lorekeep_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / "lorekeep_package.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(PACKAGE.rglob("*.py")):
-                out.write(file, file.relative_to(PACKAGE.parent))
-        sc.addPyFile(str(archive))
+    # Executors fetch the archive whenever they start, so it stays until the driver ends.
+    folder = tempfile.mkdtemp(prefix="lorekeep-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "lorekeep_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(PACKAGE.rglob("*.py")):
+            out.write(file, file.relative_to(PACKAGE.parent))
+    sc.addPyFile(str(archive))
     sc._lorekeep_shipped = True
