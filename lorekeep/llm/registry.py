@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import packing, quality, runtime, secrets, sharding, sql, wordpiece
+from lorekeep.llm import jaccard, packing, quality, runtime, secrets, sharding, sql, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def bpe_50k() -> tuple[str, str, dict[str, int]]:
     return tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
 
 
+def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(runtime.table(spark, sf_dir, "documents"))
+
+
 def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_report(docs).drop("text", "rejected_by")
@@ -51,7 +55,7 @@ def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_secret_structure, op6_minimax_shards, op7_wordpiece_counts, op8_concat_and_cut, op10_quality_cascade)}
+    return {f.__name__: f for f in (op3_secret_structure, op6_minimax_shards, op7_wordpiece_counts, op8_concat_and_cut, op9_prefix_tree_join, op10_quality_cascade)}
 
 
 def oracle_sql() -> dict[str, str]:
