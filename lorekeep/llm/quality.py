@@ -206,4 +206,7 @@ REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def keep_good(df: DataFrame, text: str = "text", rules: Sequence[Rule] = (*BASE_RULES, *RULES), sample_rows: int = 400) -> DataFrame:
     """The rows that no rule rejects, with the input's columns: here every rule stands in the cascade."""
     out = cascade(df.withColumn(TEXT, T.whole(F.col(text))), ordered(measure(df, text, rules, sample_rows)))
+    # Without a column that isn't deterministic, Catalyst would push the filter below the cascade and copy all
+    # expressions into it, each feature many times over.
+    out = out.withColumn(P + "fence", F.monotonically_increasing_id())
     return out.where(_c("rejected_by").isNull()).select(*(F.col(f"`{c}`") for c in df.columns))

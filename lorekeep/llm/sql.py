@@ -39,3 +39,48 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_
         AND NOT (100 * n_stutter > 20 * n)) AS kept
 FROM b
 """
+
+OP1 = r"""
+WITH p AS (
+  SELECT coalesce(page_id, -1) AS k, coalesce(url, '') AS u, coalesce(html, '') AS h, left(sha256(coalesce(html, '')), 2) AS tag FROM pages
+), b0 AS (
+  SELECT k, u, CASE WHEN tag = '00' THEN left(h, length(h) - 1) || chr(0) ELSE h END AS h FROM p WHERE tag <> '01'
+  UNION ALL SELECT k + 1099511627776, u, h FROM p WHERE tag = '02'
+), both_sides AS (
+  SELECT 'a' AS side, k, u, h FROM p UNION ALL SELECT 'b', k, u, h FROM b0
+), r AS (
+  SELECT side, k, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || u || chr(13) || chr(10)
+         || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10)
+         || h || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM both_sides
+), d AS (
+  SELECT side, k, strlen(rec) AS n, sha256(rec) AS digest FROM r
+), a AS (
+  SELECT k, n, digest, k // 4096 AS f,
+         coalesce(sum(n) OVER (PARTITION BY k // 4096 ORDER BY k, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
+  FROM d WHERE side = 'a'
+), b AS (SELECT k, digest FROM d WHERE side = 'b')
+SELECT coalesce(a.k, b.k) AS page_id,
+       CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'corrupt' END AS status,
+       CAST(coalesce(a.k, b.k) // 4096 AS BIGINT) AS file_id, CAST(o AS BIGINT) AS record_offset, CAST(n AS BIGINT) AS length,
+       a.digest AS digest_a, b.digest AS digest_b
+FROM a FULL JOIN b ON a.k = b.k WHERE a.digest IS DISTINCT FROM b.digest
+"""
+
+OP4 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+    replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '</s>', '<\/s>'), '<s>', '<\s>'),
+      '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>') AS escaped
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(length(learned)) AS BIGINT) AS loss_chars,
+       sha256(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(length(role) + length(escaped) + 18) AS BIGINT) AS formatted_chars,
+       CAST(0 AS BIGINT) AS n_attachments
+FROM e GROUP BY conv_id
+"""
