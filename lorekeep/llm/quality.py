@@ -209,4 +209,4 @@ def keep_good(df: DataFrame, text: str = "text", rules: Sequence[Rule] = (*BASE_
     # Without a column that isn't deterministic, Catalyst would push the filter below the cascade and copy all
     # expressions into it, each feature many times over.
     out = out.withColumn(P + "fence", F.monotonically_increasing_id())
-    return out.where(_c("rejected_by").isNull()).select(*(F.col(f"`{c}`") for c in df.columns))
+    return out.where(_c("rejected_by").isNull() & (_c("fence") >= 0)).select(*(F.col(f"`{c}`") for c in df.columns))
