@@ -100,9 +100,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     count = F.least(F.size("ih"), F.size("dh") - F.col("shift")) - first
     same = F.zip_with(F.slice("ih", first + 1, count), F.slice("dh", F.col("shift") + first + 1, count), lambda a, b: a == b)
     scored = sided.where(count > 0).select("doc_id", "item_id", "shift", F.size("ih").alias("item_tokens"), best_stretch(same).alias("b"))
-    enough = F.col("b.s") >= F.least(F.lit(score), F.col("item_tokens"))
     best = F.max(F.struct(F.col("b.s").alias("score"), F.col("b.m").alias("matched"), F.col("b.n").alias("stretch"), "item_tokens", (-F.col("shift")).alias("back"))).alias("x")
-    out = scored.where(enough).groupBy("doc_id", "item_id").agg(best)
+    # The threshold comes after the maximum: before it, Catalyst would copy the scoring into the join.
+    out = scored.groupBy("doc_id", "item_id").agg(best).where(F.col("x.score") >= F.least(F.lit(score), F.col("x.item_tokens")))
     return out.select("doc_id", "item_id", "x.score", "x.matched", "x.stretch", "x.item_tokens", (-F.col("x.back")).cast("int").alias("shift"))
 
 
