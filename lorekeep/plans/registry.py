@@ -38,5 +38,9 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from lorekeep.plans import (  # noqa: F401  each module registers its queries
+        catalog_queries,
+        facts_queries,
         retrieval_queries,
+        sync_queries,
+        text_queries,
     )
