@@ -68,11 +68,11 @@ def kg_add_idempotent(spark, root):
     "kg_conflicts",
     f"""{W}, held AS (SELECT DISTINCT subject, predicate, object AS held FROM facts WHERE valid_to IS NULL)
     SELECT fact_id, f.subject, f.predicate, object, coalesce(string_agg(DISTINCT CASE WHEN held <> object THEN held END, ',' ORDER BY CASE WHEN held <> object THEN held END), '') AS conflicting
-    FROM facts f LEFT JOIN held h ON f.subject = h.subject AND f.predicate = h.predicate WHERE fact_id <= 2000 GROUP BY 1, 2, 3, 4""",
+    FROM facts f LEFT JOIN held h ON f.subject = h.subject AND f.predicate = h.predicate GROUP BY 1, 2, 3, 4""",
 )
 def kg_conflicts(spark, root):
     facts = V.facts(spark, root)
-    return K.conflicts(facts.where("fact_id <= 2000").select("fact_id", "subject", "predicate", "object"), facts)
+    return K.conflicts(facts.select("fact_id", "subject", "predicate", "object"), facts)
 
 
 @register("kg_candidates_page", f"{W} SELECT fact_id, subject, object FROM facts WHERE predicate = 'ordered_3' AND valid_to IS NULL ORDER BY valid_from, fact_id LIMIT 50 OFFSET 25")

@@ -75,14 +75,14 @@ def merge_counts(spark, root):
 
 @register(
     "upsert_records",
-    f"""{W}, u AS (SELECT record_id AS id, value, row_number() OVER (PARTITION BY record_id ORDER BY id DESC) AS k FROM stamped WHERE id > 500 AND record_id < 200),
+    f"""{W}, u AS (SELECT record_id AS id, value, row_number() OVER (PARTITION BY record_id ORDER BY id DESC) AS k FROM stamped WHERE id > 500),
     base AS (SELECT record_id AS id, value, row_number() OVER (PARTITION BY record_id ORDER BY id) AS k FROM stamped WHERE id <= 500)
     SELECT id, value FROM base WHERE k = 1 AND id NOT IN (SELECT id FROM u) UNION ALL SELECT id, value FROM u WHERE k = 1""",
 )
 def upsert_records(spark, root):
     rows = _stamped(spark, root)
     base = rows.where("id <= 500").groupBy("record_id").agg(F.min_by("value", "id").alias("value"), F.min("id").alias("at")).withColumnRenamed("record_id", "id")
-    batch = rows.where("id > 500 AND record_id < 200").select(F.col("record_id").alias("id"), "value", F.col("id").alias("at"))
+    batch = rows.where("id > 500").select(F.col("record_id").alias("id"), "value", F.col("id").alias("at"))
     return S.upsert(base, batch, "at").select("id", "value")
 
 
