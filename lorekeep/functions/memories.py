@@ -187,7 +187,8 @@ def sentiment(text: Column) -> Column:
     """By distinct words: 'positive', 'negative', or 'neutral' where both kinds are as many."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), 1)
     hits = lambda listed: F.size(F.array_intersect(words, F.array(*map(F.lit, listed))))
-    return F.when(hits(POSITIVE) > hits(NEGATIVE), "positive").when(hits(NEGATIVE) > hits(POSITIVE), "negative").otherwise("neutral")
+    sign = F.signum(hits(POSITIVE) - hits(NEGATIVE)).cast("int")
+    return F.element_at(F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), sign + 2)
 
 
 def memories(documents: DataFrame, least: float = 0.3) -> DataFrame:
@@ -220,5 +221,6 @@ def memories(documents: DataFrame, least: float = 0.3) -> DataFrame:
         return F.struct(strip(part).alias("content"), kind.alias("kind"), F.when(best > 0, score).otherwise(0).cast("int").alias("score"))
 
     kept = F.filter(F.zip_with("parts", "hits", judged), lambda m: (m["score"] > 0) & (m["score"] / 5 >= least))
-    out = found.select("id", F.posexplode(kept).alias("chunk_index", "m"))
+    # Not ``posexplode``: from that, Catalyst infers a filter that evaluates all of this twice more.
+    out = found.select("id", F.posexplode_outer(kept).alias("chunk_index", "m")).where("m IS NOT NULL")
     return out.select("id", "chunk_index", "m.content", "m.kind", "m.score")

@@ -103,4 +103,4 @@ def exchange_slices(spark, root):
     quoted = F.when(F.col("role") == "user", F.concat(F.lit("> "), "text")).otherwise(F.col("text"))
     lines = table(spark, root, "conversations").select("conv_id", F.struct("turn", quoted.alias("line")).alias("t"))
     texts = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text"))
-    return texts.select("conv_id", F.posexplode(K.exchange_units(F.col("text"))).alias("chunk_index", "content"))
+    return texts.select("conv_id", F.posexplode_outer(K.exchange_units(F.col("text"))).alias("chunk_index", "content")).where("content IS NOT NULL")
