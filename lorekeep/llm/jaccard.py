@@ -37,7 +37,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import runtime
@@ -294,18 +294,21 @@ def _compare(docs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def _blocks(groups: DataFrame, sizes: DataFrame, block_tokens: int) -> DataFrame:
-    """(comp, doc_id, block, blocks): a group's documents by size, cut where the shingles so far fill a block."""
-    by_size = Window.partitionBy("comp").orderBy("n", "doc_id")
+    """(comp, doc_id, block, blocks): a group's documents spread by hash over as many blocks as its shingles fill."""
     placed = groups.join(sizes, groups["id"] == sizes["doc_id"]).select(F.col("label").alias("comp"), "doc_id", "n")
-    placed = placed.withColumn("block", F.floor((F.sum("n").over(by_size) - F.col("n")) / F.lit(block_tokens)).cast("int"))
-    # The number of the last block; every block of a group is at least named by it, an empty one costs nothing.
-    return placed.withColumn("blocks", F.max("block").over(Window.partitionBy("comp")) + 1).drop("n")
+    blocks = placed.groupBy("comp").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).cast("int").alias("blocks"))
+    spread = F.pmod(F.xxhash64("doc_id"), F.greatest("blocks", F.lit(1))).cast("int")
+    return placed.drop("n").join(blocks, "comp").select("comp", "doc_id", spread.alias("block"), "blocks")
 
 
 def _candidates(keyed: DataFrame) -> DataFrame:
-    """Edges from each (key, doc_id) to the key's least document, where there is another."""
-    least = F.min("doc_id").over(Window.partitionBy("key"))
-    return keyed.select("doc_id", least.alias("least")).where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    """Edges from each (key, doc_id) to the key's least document, where there is another.
+
+    Ends of keys are found with partial aggregates and joined back: a key that very many documents have is no window
+    in one task, and AQE may split its side of the join.
+    """
+    ends = keyed.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select("key", "v")
+    return keyed.join(ends, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_000_000) -> DataFrame:
@@ -321,7 +324,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = components(_candidates(keyed))
     blocks = runtime.store(_blocks(groups, reps, block_tokens), "jaccard-blocks")
     one = blocks.select("comp", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id")
-    leader = blocks.where("blocks > 1").groupBy("comp", "blocks").agg(F.min_by("doc_id", F.struct("block", "doc_id")).alias("doc_id"))
+    leader = blocks.where("blocks > 1").groupBy("comp", "blocks").agg(F.min("doc_id").alias("doc_id"))
     led = leader.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "doc_id").select("comp", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "doc_id")
     edges = runtime.store(_compare(docs, runtime.store(one.unionByName(led).distinct(), "jaccard-tasks")), "jaccard-edges")
     labels = components(edges)
@@ -343,8 +346,7 @@ def _across(docs: DataFrame, keyed: DataFrame, large: DataFrame, labels: DataFra
     now = labels.select(F.col("id").alias("doc_id"), "label")
     inside = keyed.join(_small(large.select("doc_id"), large.count()), "doc_id", "left_semi").join(now, "doc_id", "left")
     inside = inside.withColumn("label", F.coalesce("label", "doc_id"))
-    per_key = Window.partitionBy("key")
-    mixed = inside.withColumn("low", F.min("label").over(per_key)).withColumn("high", F.max("label").over(per_key)).where("low < high")
+    mixed = inside.join(inside.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "key", "left_semi")
     blocks = runtime.store(_blocks(components(_candidates(mixed.select("doc_id", "key"))), reps, block_tokens), "jaccard-blocks")
     firsts = blocks.select("comp", "doc_id", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
     seconds = blocks.where("block > 0").select("comp", "doc_id", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
