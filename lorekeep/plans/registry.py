@@ -41,6 +41,7 @@ def _load() -> None:
         catalog_queries,
         facts_queries,
         memory_queries,
+        probe_queries,
         retrieval_queries,
         sync_queries,
         text_queries,
