@@ -1,11 +1,13 @@
 """Dense, lexical and hybrid top-k retrieval, and its quality measures.
 
-A set of queries is stated and small; it is broadcast against the records, whose best ``k`` for each query are kept
-in each partition (WindowGroupLimit) before the one shuffle by query.
+A set of queries is broadcast against the records, whose best ``k`` for each query are kept in each partition
+(WindowGroupLimit) before the one shuffle by query. A set too large for one broadcast is taken in blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,24 @@ def with_norm(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
+def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
+    """The queries, dealt by their ids over as many blocks as they fill; one block is the set itself."""
+    n = -(-queries.count() // block)
+    if n <= 1:
+        return [queries]
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, label, distance, rank): the nearest by cosine distance, ties by vec_id.
 
     ``queries`` has query_id and query (an embedding). Distances are rounded to six places before ranking, so that the
-    order of additions can't change a tie.
+    order of additions can't change a tie. All rows of a query are in one block, so its ranks are those over all records.
     """
+    return reduce(DataFrame.unionByName, (_dense_block(vectors, part, k, skip_self) for part in _blocks(queries, block)))
+
+
+def _dense_block(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
     q = queries.select("query_id", F.col("query").alias("q"), F.sqrt(dot(F.col("query"), F.col("query"))).alias("q_norm"))
     pairs = with_norm(vectors).join(F.broadcast(q), F.lit(True) if not skip_self else F.col("vec_id") != F.col("query_id"))
     scored = pairs.select("query_id", "vec_id", "label", F.round(1 - dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("distance"))

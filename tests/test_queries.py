@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
+from lorekeep.engine import views
 from lorekeep.functions.where import where
-from lorekeep.operators import facts, sync, texts, topics
+from lorekeep.operators import facts, retrieval, sync, texts, topics
 from lorekeep.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,3 +60,13 @@ def test_edges_of_texts_and_topics(spark):
     nodes = spark.createDataFrame([("t1", ["a", "b"], 2), ("t2", ["b", "c"], 1), ("t3", ["c"], 1), ("t4", ["d"], 1)], "topic string, domains array<string>, n long")
     assert [(r["topic"], r["hop"]) for r in topics.traverse(nodes, "t1").collect()] == [("t1", 0), ("t2", 1), ("t3", 2)]
     assert topics.traverse(nodes, "none").count() == 0
+
+
+def test_dense_blocks(spark, sf_dir):
+    """More queries than a block holds: none is broadcast with all others, and all have the answers of one block."""
+    vectors = views.vectors(spark, sf_dir)
+    queries = vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    n = queries.count()
+    assert n > 4 and len(retrieval._blocks(queries, 4)) == -(-n // 4) and len(retrieval._blocks(queries, n)) == 1
+    rows = lambda **o: sorted(map(tuple, retrieval.dense_top_k(vectors, queries, 3, **o).collect()))
+    assert rows(block=4) == rows() and len(rows(block=4)) == 3 * n
