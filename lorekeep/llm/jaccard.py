@@ -1,13 +1,15 @@
 """N-gram Jaccard join with prefix trees, down to connected components.
 
-A document is the set of its distinct 3-word shingles, as 64-bit hashes (two different shingles of compared documents
-share a hash with a probability of about 1e-13). Two documents link if 100 * intersection >= 90 * union.
+A document is the set of its distinct shingles of ``size`` words, as 64-bit hashes (two different shingles of compared
+documents share a hash with a probability of about 1e-13). Two documents link if 100 * intersection >= percent * union.
+Op9's contract has 3 words and 90 percent, the defaults; the numbers below are for it, and follow from ``percent``.
 
 1. Sets. Documents with equal sets (128-bit digest) form a class, of which the least doc_id stands for all. Each set
    is cut into ranges of the hash space; a range's digest is a key. Linked sets differ in at most d = (a + b) / 19
    shingles, so with d + 3 ranges at least three agree; sets of similar size (buckets of ratio 10/9, each set in its
    own bucket's scheme and in the one below) share a key. A set leaves out keys of empty ranges unless it has
-   three or more, in which case an agreement on empty ranges alone is possible. No frequency of a shingle matters: a
+   three or more, in which case an agreement on empty ranges alone is possible; with a lower percentage ranges hold
+   fewer shingles, and there are more than d + 3, so that so many empty ones stay rare. No frequency of a shingle matters: a
    passage that many documents share makes no key unless all else in a range is equal too.
 2. Candidates. Keys that two classes share connect them to the key's least class; connected components of this
    graph are the groups that have to be compared, and hold every link.
@@ -24,14 +26,16 @@ share a hash with a probability of about 1e-13). Two documents link if 100 * int
 Links become spanning edges, and edges components (see ``components``). Nothing but counts reaches the driver.
 
 Defined results: a document without words, or with a null text, has the empty set, links with nothing and is its own
-component; with one or two words, its whole sequence is its only shingle; rows that share a doc_id are one document
+component; with fewer words than a shingle, its whole sequence is its only shingle; rows that share a doc_id are one document
 with several sets; rows with a null doc_id link with nothing and get a null component_id; an empty table gives an empty
 table; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import groupby
 
 import numpy as np
@@ -46,11 +50,13 @@ from lorekeep.llm.components import components
 #: Fixed values of the contract: A-Z to lower case, and nothing else.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Odd multipliers that tell the places of a shingle's words apart, by how many words there are.
-PLACES = [np.array(x, dtype=np.uint64) for x in ((0x9E3779B97F4A7C15,), (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F))]
+PLACES = [np.array(x, dtype=np.uint64) for x in ((0x9E3779B97F4A7C15,), (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F), (0xEB44ACCAB455D165, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB), (0x9FB21C651E98DF25, 0xC3A5C85C97CB3127, 0xB492B66FBE98F273, 0x9AE16A3B2F90404F, 0xCBF29CE484222325))]
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
-#: Ranges beyond those that can differ.
+#: Ranges beyond those that can differ, at least.
 SPARE = 2
+#: Words of a shingle and percentage of op9's contract.
+SIZE, PERCENT = 3, 90
 #: Classes (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SETS = "doc_id long, n long, sig binary, keys array<long>"
@@ -72,7 +78,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: bytes | None, known: WordHashes, size: int = 3) -> np.ndarray:
+def shingles(text: bytes | None, known: WordHashes, size: int = SIZE) -> np.ndarray:
     """The distinct shingles' hashes in ascending order."""
     words = (text or b"").translate(LOWER).split()
     if not words:
@@ -85,40 +91,46 @@ def shingles(text: bytes | None, known: WordHashes, size: int = 3) -> np.ndarray
     return np.unique(mix(out))
 
 
-def _starts() -> list[int]:
-    """Least set sizes of the buckets; below 9 shingles only equal sets link."""
-    out = [9]
+@cache
+def starts(percent: int = PERCENT) -> np.ndarray:
+    """Least set sizes of the buckets; below the first only equal sets link."""
+    out = [-(-percent // (100 - percent))]
     while out[-1] < 1 << 40:
-        out.append(out[-1] * 10 // 9 + 1)
-    return out
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out)
 
 
-STARTS = np.array(_starts())
+@cache
+def ranges(bucket: int, percent: int = PERCENT) -> tuple[int, int]:
+    """Ranges of the scheme for pairs whose smaller set is in ``bucket``, and how many of them agree but for one.
 
-
-def ranges(bucket: int) -> int:
-    """Ranges of the scheme for pairs whose smaller set is in ``bucket``."""
-    most = int(STARTS[bucket + 1]) - 1
-    return (most + most * 10 // 9) // 19 + 1 + SPARE
+    Of d ranges for the shingles that differ, the smallest sets leave exp(-p * p / (1 - p)) empty on average: twice that
+    share is spare (none at 90 percent).
+    """
+    most = int(starts(percent)[bucket + 1]) - 1
+    differ = (most + most * 100 // percent) * (100 - percent) // (100 + percent)
+    spare = SPARE + differ * round(200 * math.exp(-percent * percent / (100 * (100 - percent)))) // 100
+    return differ + 1 + spare, spare
 
 
-def range_keys(tokens: np.ndarray) -> np.ndarray:
-    if len(tokens) < STARTS[0]:
+def range_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    least = starts(percent)
+    if len(tokens) < least[0]:
         return np.empty(0, np.int64)
-    own = int(np.searchsorted(STARTS, len(tokens), "right")) - 1
+    own = int(np.searchsorted(least, len(tokens), "right")) - 1
     sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(tokens))))
     out = []
     for bucket in (own, own - 1) if own else (own,):
-        k = ranges(bucket)
+        k, spare = ranges(bucket, percent)
         place = ((tokens >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         cuts = np.searchsorted(place, np.arange(k + 1, dtype=np.uint64))
         keys = mix(mix(sums[cuts[1:]] - sums[cuts[:-1]]) + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(bucket * 0x2545F4914F6CDD1D & (1 << 64) - 1))
         full = cuts[1:] > cuts[:-1]
-        out.append(keys if k - np.count_nonzero(full) > SPARE else keys[full])
+        out.append(keys if k - np.count_nonzero(full) > spare else keys[full])
     return np.concatenate(out).view(np.int64)
 
 
-def sets(docs: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, sig, keys) of (doc_id, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +138,10 @@ def sets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n, sig, keys = [], [], []
             for text in batch.column(1):
-                tokens = shingles(text.as_py(), known)
+                tokens = shingles(text.as_py(), known, size)
                 n.append(len(tokens))
                 sig.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-                keys.append(range_keys(tokens))
+                keys.append(range_keys(tokens, percent))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             values = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)]
@@ -138,9 +150,9 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, SETS)
 
 
-def needed(a: int, b: int) -> int:
+def needed(a: int, b: int, percent: int = PERCENT) -> int:
     """The least intersection of linked sets with so many shingles."""
-    return -(-90 * (a + b) // 190)
+    return -(-percent * (a + b) // (100 + percent))
 
 
 class Node:
@@ -208,7 +220,7 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
-def walk(root: Node, x: int, own: np.ndarray, sizes: list[int], inside: np.ndarray, union: Union, sides: list[int] | None) -> None:
+def walk(root: Node, x: int, own: np.ndarray, sizes: list[int], inside: np.ndarray, union: Union, sides: list[int] | None, percent: int = PERCENT) -> None:
     """Links set ``x`` with the sets after it that need it, skipping what is in its component already."""
     size = sizes[x]
     # Children are visited after their parent and settled (``one``) before it: a stack with two visits each.
@@ -222,23 +234,23 @@ def walk(root: Node, x: int, own: np.ndarray, sizes: list[int], inside: np.ndarr
             continue
         if node.last <= x or (node.one >= 0 and union.find(node.one) == union.find(x)):
             continue
-        if 100 * node.most < 90 * size or 90 * node.least > 100 * size:
+        if 100 * node.most < percent * size or percent * node.least > 100 * size:
             continue
         if len(node.ranks):
             overlap += int(np.count_nonzero(inside[node.ranks]))
             left = len(own) - int(np.searchsorted(own, node.ranks[-1], "right"))
         else:
             left = len(own)
-        if overlap + min(left, node.rest) < needed(size, max(node.least, -(-90 * size // 100))):
+        if overlap + min(left, node.rest) < needed(size, max(node.least, -(-percent * size // 100)), percent):
             continue
         for y in node.sets:
-            if y > x and overlap >= needed(size, sizes[y]) and (sides is None or sides[x] != sides[y]):
+            if y > x and overlap >= needed(size, sizes[y], percent) and (sides is None or sides[x] != sides[y]):
                 union.join(x, y)
         stack.append((node, overlap, True))
         stack.extend((c, overlap, False) for c in node.children)
 
 
-def tree_join(tokens: list[np.ndarray], sides: list[int] | None = None) -> Union:
+def tree_join(tokens: list[np.ndarray], sides: list[int] | None = None, percent: int = PERCENT) -> Union:
     """Components of the links among the sets; with ``sides``, of links between different sides only."""
     sizes = [len(t) for t in tokens]
     union = Union(len(tokens))
@@ -256,7 +268,7 @@ def tree_join(tokens: list[np.ndarray], sides: list[int] | None = None) -> Union
     root, inside = build(ranked, sizes), np.zeros(shared + 1, bool)
     for x, own in enumerate(ranked):
         inside[own] = True
-        walk(root, x, own, sizes, inside, union, sides)
+        walk(root, x, own, sizes, inside, union, sides, percent)
         inside[own] = False
     return union
 
@@ -266,7 +278,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _compare(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+def _compare(docs: DataFrame, tasks: DataFrame, size: int, percent: int) -> DataFrame:
     """Spanning edges (u, v) of the links in each task (comp, i, j, side, doc_id); texts are read again for these only."""
     rows = tasks.count()
     picked = docs.join(_small(tasks, rows), "doc_id").select("comp", "i", "j", "side", "doc_id", "body")
@@ -274,7 +286,7 @@ def _compare(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            found = [shingles(t.as_py(), known) for t in batch.column(5)]
+            found = [shingles(t.as_py(), known, size) for t in batch.column(5)]
             columns = [*batch.columns[:5], pa.array([len(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MEMBERS.split(", ")])
 
@@ -285,7 +297,7 @@ def _compare(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), group in groupby(members(batches), key=lambda r: r[:3]):
             part = list(group)
-            union = tree_join([np.frombuffer(r[6], np.uint64) for r in part], [r[3] for r in part] if i != j else None)
+            union = tree_join([np.frombuffer(r[6], np.uint64) for r in part], [r[3] for r in part] if i != j else None, percent)
             edges = [(part[union.find(k)][4], r[4]) for k, r in enumerate(part) if union.find(k) != k]
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["u", "v"])
 
@@ -311,11 +323,14 @@ def _candidates(keyed: DataFrame) -> DataFrame:
     return keyed.join(ends, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_000_000) -> DataFrame:
-    """Returns (doc_id, n_shingles, component_id) for every row of ``df``."""
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_000_000, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Returns (doc_id, n_shingles, component_id) for every row of ``df``: shingles of ``size`` words (5 at most), links from
+    a similarity of ``percent`` (50 to 99) on."""
+    if not (1 <= size <= len(PLACES) and 50 <= percent <= 99):
+        raise ValueError(f"no shingles of {size} words, or no links from {percent} percent")
     runtime.ship(df.sparkSession)
     docs = df.selectExpr(f"CAST(`{id_col}` AS long) AS doc_id", f"CAST(CAST(`{text_col}` AS string) AS binary) AS body")
-    found = runtime.store(sets(docs), "jaccard-sets")
+    found = runtime.store(sets(docs, size, percent), "jaccard-sets")
     classes = runtime.store(found.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     total = classes.count()
@@ -326,12 +341,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one = blocks.select("comp", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id")
     leader = blocks.where("blocks > 1").groupBy("comp", "blocks").agg(F.min("doc_id").alias("doc_id"))
     led = leader.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "doc_id").select("comp", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "doc_id")
-    edges = runtime.store(_compare(docs, runtime.store(one.unionByName(led).distinct(), "jaccard-tasks")), "jaccard-edges")
+    edges = runtime.store(_compare(docs, runtime.store(one.unionByName(led).distinct(), "jaccard-tasks"), size, percent), "jaccard-edges")
     labels = components(edges)
 
     large = runtime.store(blocks.where("blocks > 1").select("doc_id", "comp"), "jaccard-large")
     if not large.isEmpty():
-        edges = edges.unionByName(_across(docs, keyed, large, labels, reps, block_tokens))
+        edges = edges.unionByName(_across(docs, keyed, large, labels, reps, block_tokens, size, percent))
         labels = components(edges)
 
     named = labels.join(labels.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("id").alias("rep"), "component_id")
@@ -341,7 +356,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
-def _across(docs: DataFrame, keyed: DataFrame, large: DataFrame, labels: DataFrame, reps: DataFrame, block_tokens: int) -> DataFrame:
+def _across(docs: DataFrame, keyed: DataFrame, large: DataFrame, labels: DataFrame, reps: DataFrame, block_tokens: int, size: int, percent: int) -> DataFrame:
     """Edges across the components that the first pass left inside groups of more than one block."""
     now = labels.select(F.col("id").alias("doc_id"), "label")
     inside = keyed.join(_small(large.select("doc_id"), large.count()), "doc_id", "left_semi").join(now, "doc_id", "left")
@@ -351,5 +366,5 @@ def _across(docs: DataFrame, keyed: DataFrame, large: DataFrame, labels: DataFra
     firsts = blocks.select("comp", "doc_id", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
     seconds = blocks.where("block > 0").select("comp", "doc_id", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
     tasks = runtime.store(firsts.unionByName(seconds).select("comp", "i", "j", "side", "doc_id"), "jaccard-tasks")
-    return runtime.store(_compare(docs, tasks), "jaccard-edges")
+    return runtime.store(_compare(docs, tasks, size, percent), "jaccard-edges")
 

@@ -141,3 +141,43 @@ def test_edges(spark):
 def test_whole_table(spark, sf_dir):
     docs = [tuple(r) for r in runtime.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in registry.op9_prefix_tree_join(spark, sf_dir).collect()) == brute(docs)
+
+
+def brute_at(docs, size, percent):
+    """doc_id -> component, with all pairs that share a shingle compared."""
+    sets = []
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(TABLE))
+        sets.append((d, frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()))
+    up, index = jaccard.Union(1 + max(d for d, _ in sets)), {}
+    for k, (d, s) in enumerate(sets):
+        for near in {j for x in s for j in index.get(x, ())}:
+            both = len(s & sets[near][1])
+            if 100 * both >= percent * (len(s) + len(sets[near][1]) - both):
+                up.join(d, sets[near][0])
+        for x in s:
+            index.setdefault(x, []).append(k)
+    return sorted((d, len(s), up.find(d)) for d, s in sets)
+
+
+@pytest.mark.parametrize("block_tokens", [150, 1_000_000])
+def test_five_words_at_80(spark, block_tokens):
+    docs = corpus(11)
+    got = run(spark, docs, size=5, percent=80, block_tokens=block_tokens)
+    assert got == brute_at(docs, 5, 80) and [g[2] for g in got] != [g[2] for g in brute_at(docs, 3, 90)]
+
+
+def test_keys_meet_at_80():
+    rng = np.random.default_rng(6)
+    linked = 0
+    for _ in range(3000):
+        n = int(rng.choice([4, 5, 6, 9, 12, 25, 60, 400, 3000]))
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        lost = int(rng.integers(0, n // 5 + 1))
+        b = np.concatenate((a[rng.permutation(n)[lost:]], rng.integers(0, 1 << 64, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)))
+        b = np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            linked += 1
+            assert set(jaccard.range_keys(a, 80).tolist()) & set(jaccard.range_keys(b, 80).tolist())
+    assert linked > 1000
