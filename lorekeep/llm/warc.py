@@ -12,7 +12,7 @@ records share is summed before the shuffle (a count, and sums of its digests, wh
 group is ever gathered; a node has FANOUT children at most.
 
 Defined results: null urls and payloads count as empty, a null key as -1; repeated equal records count, so one copy too
-few is found; of records with one key, those that differ are reported together; identical replicas give an empty
+few is found; every record that differs is a row, also of those that share a key; identical replicas give an empty
 result, as do two empty ones; other columns are not looked at.
 """
 
@@ -27,6 +27,8 @@ from lorekeep.llm import runtime
 FANOUT, LEVELS, FILE_KEYS = 16, 4, 4096
 #: Nodes (16 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Equal copies that are made rows at once.
+COPIES = 4096
 
 
 def record_bytes(url: Column, payload: Column) -> Column:
@@ -81,25 +83,36 @@ def differing_keys(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
 
 
 def audit(left: DataFrame, right: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """Returns (key, status, file_id, record_offset, length, digest_a, digest_b), one row for each key whose records
-    differ. ``missing``: the right replica lacks some, ``extra``: it has more, ``corrupt``: it has others. Offset and
-    length are those of the left's first such record in its file; null for extra ones."""
+    """Returns (key, status, file_id, record_offset, length, digest_a, digest_b), one row for each record that differs.
+
+    ``missing``: the right replica lacks it, ``extra``: only the right has it; of a record with several equal copies, one
+    row for each copy too few or too many. ``corrupt``: both replicas have one record of the key, and they differ; where
+    more share the key, nothing tells which became which, so each is missing or extra. Offset and length are the left's
+    record's in its file (of equal copies, the first ones'); null for extra ones."""
     a, b = records(left, key, url, payload), records(right, key, url, payload)
     wrong = _small(differing_keys(tree(a), tree(b)))
-    one = F.lit(1).cast("long")
-    counted = a.select("key", "length", "digest", one.alias("a"), F.lit(0).alias("b")).unionByName(b.select("key", "length", "digest", F.lit(0).alias("a"), one.alias("b")))
-    counted = counted.join(wrong, "key", "left_semi").groupBy("key", "length", "digest").agg((F.sum("a") - F.sum("b")).alias("more"))
-    only_a, only_b = F.when(F.col("more") > 0, F.col("digest")), F.when(F.col("more") < 0, F.col("digest"))
-    located = counted.where("more <> 0").groupBy("key").agg(F.min(only_a).alias("digest_a"), F.min(only_b).alias("digest_b"))
-    status = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").otherwise("corrupt")
-    located = located.select("key", status.alias("status"), F.floor(F.col("key") / FILE_KEYS).alias("file_id"), "digest_a", "digest_b")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = a.select("key", "length", "digest", one.alias("a"), none.alias("b")).unionByName(b.select("key", "length", "digest", none.alias("a"), one.alias("b")))
+    counted = both.join(wrong, "key", "left_semi").groupBy("key", "length", "digest").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = runtime.store(counted, "warc-counted")
+    # One record on each side, and the key differs: the one became the other.
+    side = lambda k: F.min(F.when(F.col(k) > 0, F.col("digest"))).alias(f"digest_{k}")
+    pairs = counted.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), side("a"), side("b")).where("a = 1 AND b = 1")
+    pairs = runtime.store(pairs.select("key", F.lit("corrupt").alias("status"), "digest_a", "digest_b", none.alias("copy")), "warc-pairs")
+    more = F.col("a") - F.col("b")
+    rest = counted.where("a <> b").join(_small(pairs.select("key")), "key", "left_anti")
+    # A row for each copy, in two steps, so that no array holds a number for each of very many.
+    rest = rest.withColumn("more", F.abs(more)).withColumn("block", F.explode(F.sequence(none, F.floor((F.col("more") - 1) / COPIES))))
+    rest = rest.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("more"), (F.col("block") + 1) * COPIES) - 1)))
+    rest = rest.select("key", F.when(more > 0, "missing").otherwise("extra").alias("status"), F.when(more > 0, F.col("digest")).alias("digest_a"), F.when(more < 0, F.col("digest")).alias("digest_b"), "copy")
+    located = pairs.unionByName(rest).withColumn("file_id", F.floor(F.col("key") / FILE_KEYS))
     # Offsets, only in files with something to report: rows of three numbers and a digest each.
     files = _small(located.select("file_id").distinct())
     order = Window.partitionBy("file_id").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = a.withColumn("file_id", F.floor(F.col("key") / FILE_KEYS)).join(files, "file_id", "left_semi")
     placed = placed.withColumn("record_offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    at = placed.groupBy("key", F.col("digest").alias("digest_a")).agg(F.min("record_offset").alias("record_offset"), F.first("length").alias("length"))
-    out = located.join(at, ["key", "digest_a"], "left")
+    at = placed.groupBy("key", F.col("digest").alias("digest_a")).agg(F.min("record_offset").alias("first"), F.first("length").alias("length"))
+    out = located.join(at, ["key", "digest_a"], "left").withColumn("record_offset", F.col("first") + F.col("copy") * F.col("length"))
     return out.select(F.when(F.col("key") >= 0, F.col("key")).alias(key), "status", "file_id", "record_offset", "length", "digest_a", "digest_b")
 
 

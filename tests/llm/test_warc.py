@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from lorekeep.llm import registry, runtime, warc
@@ -54,3 +55,32 @@ def test_query(spark):
     before, after = ({r[0]: tuple(r) for r in x.collect()} for x in (df, warc.damaged(df)))
     got = {r["page_id"]: r["status"] for r in registry.op1_merkle_fixity(spark, sf).collect()}
     assert set(got) == {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)}
+
+
+def test_shared_keys(spark):
+    """Every differing record of a key is a row with its own offset, also equal copies; none is paired by guess."""
+    left = [(None, "u", f"n{i}", 0, 0) for i in range(30)] + [(7, "u", "same", 0, 0)] * 5 + [(7, "u", "z", 0, 0), (8, "u", "old", 0, 0)]
+    right = left[4:30] + [(None, "u", "new", 0, 0)] + left[33:36] + [(7, "u", "more", 0, 0)] * 2 + [(8, "u", "now", 0, 0)]
+    got = [tuple(r) for r in warc.audit(pages(spark, left), pages(spark, right)).collect()]
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted([("None", "missing")] * 4 + [("None", "extra")] + [("7", "missing")] * 3 + [("7", "extra")] * 2 + [("8", "corrupt")])
+
+    def record(r):
+        body = r[2]
+        text = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {r[1]}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+        return hashlib.sha256(text.encode()).hexdigest(), len(text)
+
+    want, at = [], {}
+    for k, r in sorted(((-1 if r[0] is None else r[0]), record(r)) for r in left):
+        start = at.get(k // warc.FILE_KEYS, 0)
+        at[k // warc.FILE_KEYS] = start + r[1]
+        want.append((k, r[0], start, r[1]))
+    lost = sorted(x for k, v in {(-1, f"n{i}"): 1 for i in range(4)}.items() for x in [w for w in want if w[:2] == (k[0], record((0, "u", k[1]))[0])][:v])
+    lost += [w for w in want if w[:2] == (7, record((0, "u", "same"))[0])][:3] + [w for w in want if w[0] == 8]
+    assert sorted((-1 if r[0] is None else r[0], r[5], r[3], r[4]) for r in got if r[1] != "extra") == sorted(lost)
+    assert all(r[3] is None and r[4] is None and r[5] is None and r[6] for r in got if r[1] == "extra")
+
+
+def test_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 4)
+    got = warc.audit(pages(spark, [(1, "u", "x", 0, 0)] * 13), pages(spark, [(1, "u", "x", 0, 0)] * 2)).collect()
+    assert sorted(r["record_offset"] for r in got) == [k * size("u", "x") for k in range(11)]
