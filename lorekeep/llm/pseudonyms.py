@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data (DataFrame functions only).
 
-Candidates are found by one pattern and validated: payment cards by their check digit, calendar dates by the calendar,
-IPv4 addresses by their range, phone numbers by their digit count, e-mail addresses by their shape. A valid value is
+One pattern finds e-mail addresses, by their shape, and runs of digits and separators. Inside a run every place where a
+value may begin is tried, and what is found is validated: calendar dates by the calendar, IPv4 addresses by their range,
+phone numbers by their digit count, payment cards by their check digit. Values of a telling shape go first, so that no
+phone number or card runs into its neighbour; then, in what they leave, looser ones (see ``PASSES``). A valid value is
 permuted by a keyed Feistel network inside its own format: a number is split into two halves, and in each round one
 half is shifted, modulo its own size, by a keyed SHA-256 of the other. That is a permutation of the format's values,
 so equal values get equal pseudonyms in every document, and different values different ones. Separators stay where they
@@ -17,7 +19,8 @@ input's columns pass through, and helper columns carry the prefix ``__p_``, whic
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,24 @@ DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.
 IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
 CARD = r"\d(?:[ -]?\d){12,18}(?!\d)"
-#: A number may not begin inside a longer one; an address may not begin inside a longer word.
-CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){EMAIL}|(?<![\d./+-]){DATE}|(?<![\d.]){IP}|(?<![\d+]){PHONE}|(?<!\d){CARD}"
+#: Phone numbers in their national groups, and cards in one piece or as they are printed.
+GROUPED = r"\+\d{1,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)"
+PRINTED = r"\d{13,19}(?!\d)|\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?!\d)|3\d{3}[ -]?\d{6}[ -]?\d{4,5}(?!\d)"
+#: A number with so many further groups; a card of so many digits in groups of three or more.
+PHONES = tuple(PHONE.split("|")[0].replace("{1,4}(?!", f"{{{k}}}(?!") for k in (4, 3, 2, 1))
+CARDS = tuple(rf"\d(?:(?:[ -](?=\d{{3}})(?<=\d{{3}}[ -]))?\d){{{n - 1}}}(?!\d)" for n in range(19, 12, -1))
+#: (kind, patterns in order) of each pass over what the passes before left of a run. The last takes cards as they come,
+#: from left to right, in groups of any size: in a list of short numbers, one of ten spans has a right check digit by chance.
+PASSES = (
+    (("date", rf"(?<![\d./+-]){DATE}"), ("ip", rf"(?<![\d.]){IP}"), ("phone", rf"(?<![\d+])(?:{GROUPED})"), ("card", rf"(?<![\d+])(?:{PRINTED})")),
+    (*(("phone", rf"(?<![\d+]){x}") for x in PHONES), *(("card", rf"(?<!\d){x}") for x in CARDS)),
+    (("card", rf"(?<!\d){CARD}"),),
+)
+#: Characters of a value and around it that a pattern may look at.
+WINDOW = 80
+#: A run of digits and separators, which doesn't end inside an address; an address may not begin inside a longer word.
+RUN = rf"[./()+-]*\d(?:[\d ./()+-]{{6,}}(?<=\d))(?![A-Za-z0-9._%+-]{{0,63}}{EMAIL[EMAIL.index('@'):]})"
+CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){EMAIL}|{RUN}"
 #: Every candidate has one of these: a cheap test before the pattern.
 HINT = r"[@]|\d[\d ./()-]{5}"
 
@@ -159,23 +178,74 @@ def email(value: Column, key: str) -> Column:
     return F.concat(F.lit("user"), digits, F.lit("@mail.invalid"))
 
 
-#: kind -> (what tells it from the others, validation, pseudonym)
+#: (kind, validation, pseudonym)
 KINDS = (
-    ("email", lambda v: v.contains("@"), lambda v: F.lit(True), email),
-    ("date", lambda v: v.rlike("^(?:" + DATE.split("(?!")[0] + ")$"), lambda v: _day(v).isNotNull(), date),
-    ("ip", lambda v: v.rlike("^" + IP.split("(?!")[0] + "$"), is_ip, ip),
-    ("phone", lambda v: v.rlike(r"^[+(]"), is_phone, phone),
-    ("card", lambda v: v.rlike(r"^[0-9]"), is_card, card),
+    ("email", lambda v: F.lit(True), email),
+    ("date", lambda v: _day(v).isNotNull(), date),
+    ("ip", is_ip, ip),
+    ("phone", is_phone, phone),
+    ("card", is_card, card),
 )
 
 
-def _kind(value: Column) -> Column:
-    """The kind of a candidate that is valid, else null."""
-    return reduce(lambda otherwise, k: F.when(k[1](value), F.when(k[2](value), F.lit(k[0]))).otherwise(otherwise), reversed(KINDS), F.lit(None).cast("string"))
+def _valid(kind: Column, value: Column) -> Column:
+    return reduce(lambda otherwise, k: F.when(kind == k[0], k[1](value)).otherwise(otherwise), KINDS, F.lit(False))
+
+
+def _part(kind: Column, value: Column) -> Column:
+    return F.struct(kind.cast("string").alias("kind"), value.alias("value"))
+
+
+def _split(text: Column, options: tuple[tuple[str, str], ...], last: bool) -> Column:
+    """Parts of ``text``, in order: values found with a kind, what is between them without.
+
+    At each place the first valid option counts. In the last pass an invalid one takes its place too, as part of no kind.
+    """
+    # Both are found by one scan: the text cut before each place, and what a pattern may see there, one character before included.
+    seen = F.concat(F.lit("\n"), text)
+    chunks = F.split(seen, r"(?=[+(]|(?<!\d)\d)", -1)
+    windows = F.regexp_extract_all(seen, F.lit(rf"(?=([\s\S](?:[+(]|(?<!\d)\d)[\s\S]{{0,{WINDOW}}}))"), 1)
+    tried = lambda w: F.array(*(_part(F.lit(kind), F.regexp_extract(w, rf"^[\s\S]({pattern})", 1)) for kind, pattern in options))
+    if last:
+        taken = lambda x: F.when(x["value"] != "", _part(F.when(_valid(x["kind"], x["value"]), x["kind"]), x["value"]))
+        first = lambda w: F.get(F.transform(tried(w), taken), F.lit(0))
+    else:
+        first = lambda w: F.get(F.filter(tried(w), lambda x: (x["value"] != "") & _valid(x["kind"], x["value"])), F.lit(0))
+    places = F.zip_with(F.slice(chunks, F.lit(2), F.size(windows)), F.transform(windows, first), lambda c, x: F.struct(c.alias("chunk"), x.alias("part")))
+    none = F.lit(None).cast("string")
+    start = F.struct(
+        F.lit(0).alias("skip"), F.substr(F.get(chunks, F.lit(0)), F.lit(2)).alias("open"), F.array().cast("array<struct<kind:string,value:string>>").alias("parts")
+    )
+
+    def take(acc: Column, x: Column) -> Column:
+        """``skip``: characters of the last value yet to come; ``open``: what follows it."""
+        n = F.length(x["chunk"])
+        left = lambda length: F.greatest(length - n, F.lit(0)).alias("skip")
+        inside = F.struct(left(acc["skip"]), F.substr(x["chunk"], acc["skip"] + 1).alias("open"), acc["parts"].alias("parts"))
+        size = F.length(x["part"]["value"])
+        value = F.struct(left(size), F.substr(x["chunk"], size + 1).alias("open"), F.concat(acc["parts"], F.array(_part(none, acc["open"]), x["part"])).alias("parts"))
+        other = F.struct(F.lit(0).alias("skip"), F.concat(acc["open"], x["chunk"]).alias("open"), acc["parts"].alias("parts"))
+        return F.when(acc["skip"] > 0, inside).when(x["part"].isNotNull(), value).otherwise(other)
+
+    rest = lambda acc: F.concat(acc["parts"], F.array(_part(none, acc["open"])))
+    return F.aggregate(places, start, take, rest)
+
+
+def _unless_found(again: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda x: F.when(x["kind"].isNotNull(), F.array(x)).otherwise(again(x["value"]))
+
+
+def _parts(candidate: Column) -> Column:
+    """The parts of a candidate: (kind or null, value), which make it up in order."""
+    parts = F.array(_part(F.lit(None), candidate))
+    for k, options in enumerate(PASSES):
+        again = partial(_split, options=options, last=k == len(PASSES) - 1)
+        parts = F.flatten(F.transform(parts, _unless_found(again)))
+    return F.when(candidate.contains("@"), F.array(_part(F.lit("email"), candidate))).otherwise(parts)
 
 
 def _pseudonym(kind: Column, value: Column, key: str) -> Column:
-    return reduce(lambda otherwise, k: F.when(kind == k[0], k[3](value, key)).otherwise(otherwise), KINDS, value)
+    return reduce(lambda otherwise, k: F.when(kind == k[0], k[2](value, key)).otherwise(otherwise), KINDS, value)
 
 
 def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -183,13 +253,13 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
     hit = text.rlike(HINT)
     df = df.withColumn(P + "values", F.when(hit, F.regexp_extract_all(text, F.lit(CANDIDATE), 0)))
-    df = df.withColumn(P + "values", F.when(F.size(P + "values") > 0, F.transform(P + "values", lambda v: F.struct(_kind(v).alias("kind"), v.alias("value")))))
-    some = F.exists(P + "values", lambda x: x["kind"].isNotNull())
-    df = df.withColumn(P + "new", F.when(some, F.transform(P + "values", lambda x: _pseudonym(x["kind"], x["value"], key))))
+    df = df.withColumn(P + "values", F.when(F.size(P + "values") > 0, F.transform(P + "values", _parts)))
+    some = F.exists(P + "values", lambda parts: F.exists(parts, lambda x: x["kind"].isNotNull()))
+    df = df.withColumn(P + "new", F.when(some, F.transform(P + "values", lambda parts: F.array_join(F.transform(parts, lambda x: _pseudonym(x["kind"], x["value"], key)), ""))))
     # One piece more than matches: the first has nothing before it.
     df = df.withColumn(P + "pieces", F.when(F.col(P + "new").isNotNull(), F.split(text, CANDIDATE, -1)))
     joined = F.array_join(F.transform(P + "pieces", lambda s, i: F.concat(F.when(i == 0, "").otherwise(F.get(P + "new", i - 1)), s)), "")
-    kinds = F.transform(F.filter(P + "values", lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
+    kinds = F.transform(F.filter(F.flatten(P + "values"), lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
     df = df.withColumn(P + "kinds", F.coalesce(kinds, F.array().cast("array<string>")))
     df = df.withColumn(text_col, F.coalesce(F.when(F.col(P + "new").isNotNull(), joined), F.col(f"`{text_col}`")))
     return df.drop(P + "values", P + "new", P + "pieces")

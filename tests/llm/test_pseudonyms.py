@@ -97,3 +97,26 @@ def test_whole_table(spark):
             n += 1
     assert n > 40 and len(set(links.values())) == len(links)
     assert not any(a in r for a, r in itertools.product(list(links)[:20], links.values()))
+
+
+def test_adjacent_values(spark):
+    """A value next to another one, or to another number, is found and linked as if it stood by itself."""
+    phone, ip, card = "+1 (826) 555-4081", "190.137.223.204", "4111111111111111"
+    printed, abroad = "4111 1111 1111 1111", "+44 20 7946 0958"
+    alone = {v: r["text"] for v, r in zip((phone, ip, card, printed, abroad), run(spark, [phone, ip, card, printed, abroad]), strict=True)}
+    assert all(a != b for a, b in alone.items())
+    cases = [
+        (phone, " ", ip), (phone, " 1234"), (ip, " ", phone), (phone, " ", phone), (phone, " ", card), (phone, " 2023-02-30"), (abroad, " ", ip), (abroad, " ", printed),
+        (card, " 123"), ("12 ", card), ("12 ", card, " 123"), ("1234 ", printed), (printed, " 1234"), (printed, " ", printed), ("7-", card), (card, "-7"), ("+", card), ("1. ", phone),
+    ]
+    rows = run(spark, ["x " + "".join(c) + " y" for c in cases])
+    assert [r["text"] for r in rows] == ["x " + "".join(alone.get(x, x) for x in c) + " y" for c in cases]
+    assert [len(r["__p_kinds"]) for r in rows] == [sum(x in alone for x in c) for c in cases]
+
+
+def test_runs(spark):
+    """Long runs of digits neither fail nor take a card's place; an address that begins with digits stays whole."""
+    numbers = "100 " * 20_000
+    rows = run(spark, [numbers + "4111111111111111", "555 123456 123john@mail.example 7", "4111111111111111@home", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"])
+    assert rows[0]["text"].startswith(numbers) and not rows[0]["text"].endswith("4111111111111111")
+    assert [r["__p_kinds"][-1] for r in rows] == ["card", "email", "card", "card"] and "john" not in rows[1]["text"]
