@@ -7,9 +7,13 @@ are decoded and parsed, and reported only if their structure holds to the last b
 - ``jwt``: three dotted base64url parts whose header is a JSON object with a string ``alg``, whose payload is a JSON
   object and whose signature is there unless ``alg`` is ``none``;
 - ``der``: base64 or hex of an ASN.1 key: every nested length fits its parent exactly, and the fields are those of
-  an RSA, EC, PKCS#8 or public key;
-- ``ssh``: base64 of an OpenSSH private key or public key blob whose length-prefixed strings fill it exactly;
-- ``pem``: a BEGIN/END block with a key label whose body decodes to ``der`` or ``ssh``.
+  an RSA, DSA, EC, PKCS#8 (plain or encrypted) or public key; a key inside PKCS#8 is no PKCS#8 itself;
+- ``ssh``: base64 of an OpenSSH private key or public key blob whose length-prefixed strings fill it exactly, the keys
+  inside being public ones;
+- ``pem``: a BEGIN/END block with a key label whose body decodes to ``der`` or ``ssh``, or, under the header lines of an
+  encrypted body, to whole cipher blocks.
+
+Nesting is bounded by these rules, not by the depth of the input.
 
 Texts go through in Arrow batches; a text is scanned whole, one at a time, so memory is that of a batch. Offsets are
 code points, ends exclusive.
@@ -40,10 +44,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
 
-JWT = re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+JWT = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:\s*[A-Z][A-Za-z-]{2,20}:[^\r\n]*)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+ENCRYPTED = re.compile(r"Proc-Type: ?4,ENCRYPTED\s+DEK-Info: ?[A-Z0-9-]+,((?:[0-9A-Fa-f]{2}){8,16})\s*")
+#: Bytes of the smallest cipher block.
+BLOCK = 8
 WORDS_OF_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 SCHEMA = "row_id long, spans array<struct<kind:string,start:int,end:int,detail:string>>"
@@ -87,8 +94,8 @@ def der_items(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 INTEGER, BITS, OCTETS, NULL, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x05, 0x06, 0x30
 
 
-def parse_der(data: bytes) -> str | None:
-    """Names the key that the bytes encode, to the last one."""
+def parse_der(data: bytes, inside: bool = False) -> str | None:
+    """Names the key that the bytes encode, to the last one; ``inside``: of a PKCS#8 key."""
     top = der_items(data, 0, len(data))
     if not top or len(top) != 1 or top[0][0] != SEQUENCE:
         return None
@@ -101,11 +108,18 @@ def parse_der(data: bytes) -> str | None:
         return "rsa_private"
     if small == b"\x01" and tags[1:2] == [OCTETS] and all(t in (0xA0, 0xA1) for t in tags[2:]) and items[1][2] - items[1][1] in (28, 32, 48, 66):
         return "ec_private"
+    if small == b"\x00" and tags == [INTEGER] * 6 and items[1][2] - items[1][1] >= 64:
+        return "dsa_private"
+    if inside:
+        return None
     if small in (b"\x00", b"\x01") and tags[1:3] == [SEQUENCE, OCTETS] and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]):
         algorithm = der_items(data, *items[1][1:])
         inner = data[items[2][1] : items[2][2]]
-        nested = parse_der(inner) or (der_items(inner, 0, len(inner)) and inner[0] == OCTETS)
+        nested = parse_der(inner, True) or (der_items(inner, 0, len(inner)) and inner[0] in (OCTETS, INTEGER))
         return "pkcs8_private" if algorithm and algorithm[0][0] == OID and nested else None
+    if tags == [SEQUENCE, OCTETS] and items[1][2] - items[1][1] >= 2 * BLOCK:
+        algorithm = der_items(data, *items[0][1:])
+        return "pkcs8_encrypted" if algorithm and [tag for tag, _, _ in algorithm] == [OID, SEQUENCE] else None
     if tags == [SEQUENCE, BITS]:
         algorithm = der_items(data, *items[0][1:])
         return "public" if algorithm and algorithm[0][0] == OID and data[items[1][1]] == 0 else None
@@ -140,7 +154,11 @@ def parse_ssh(data: bytes) -> str | None:
             return None
         keys = int.from_bytes(data[head[1] : head[1] + 4], "big")
         body = _strings(data, head[1] + 4, keys + 1) if 1 <= keys <= 16 else None
-        return "openssh_private" if body and body[1] == len(data) and all(parse_ssh(k) for k in body[0][:-1]) else None
+        return "openssh_private" if body and body[1] == len(data) and all(map(parse_public, body[0][:-1])) else None
+    return parse_public(data)
+
+
+def parse_public(data: bytes) -> str | None:
     if data[:4] not in (b"\0\0\0\x07", b"\0\0\0\x0b", b"\0\0\0\x13"):
         return None
     parts = _strings(data, 0)
@@ -151,6 +169,8 @@ def parse_ssh(data: bytes) -> str | None:
 
 def parse_jwt(token: str) -> str | None:
     head, payload, signature = token.split(".")
+    if not (decode_base64(head[: len(head) // 4 * 4]) or b"").lstrip().startswith(b"{"):
+        return None
     try:
         a, b = (json.loads(decode_base64(x) or b"") for x in (head, payload))
     except (ValueError, RecursionError):
@@ -158,11 +178,21 @@ def parse_jwt(token: str) -> str | None:
     if not isinstance(a, dict) or not isinstance(b, dict) or not isinstance(a.get("alg"), str):
         return None
     sealed = decode_base64(signature) if signature else b""
-    if sealed is None or (a["alg"].lower() != "none" and len(sealed) < 16):
+    # Names of algorithms are printable ASCII; JSON can also spell half a character, which is no text at all.
+    if sealed is None or not (a["alg"].isascii() and a["alg"].isprintable()) or (a["alg"].lower() != "none" and len(sealed) < 16):
         return None
     return a["alg"]
 
 
+def parse_pem(headers: str, body: str) -> str | None:
+    data = decode_base64("".join(body.split()))
+    if data is None:
+        return None
+    if headers and ENCRYPTED.fullmatch(headers.strip()):
+        return "encrypted" if len(data) % BLOCK == 0 else None
+    return parse_der(data) or parse_ssh(data)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int, str | None]]:
     out = []
     low = text.lower()
@@ -184,7 +214,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int, str | None]]:
     """Candidates whose decoded bytes have the structure of a key or a signed token."""
     out = []
     if longest(text) >= 32:
-        if "eyJ" in text:
+        if "." in text:
             out += [("jwt", *m.span(), found) for m in JWT.finditer(text) if (found := parse_jwt(m[0]))]
         for m in BASE64.finditer(text):
             data = decode_base64(m[0])
@@ -200,10 +230,7 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int, str | None]]:
             if m.span() not in taken and (found := parse_der(data) or parse_ssh(data)):
                 out.append(("ssh" if data[:1] != b"\x30" else "der", *m.span(), found))
     if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = decode_base64("".join(m[2].split()))
-            if data is not None and (found := parse_der(data) or parse_ssh(data)):
-                out.append(("pem", *m.span(), found))
+        out += [("pem", *m.span(), found) for m in PEM.finditer(text) if (found := parse_pem(m[2], m[3]))]
     return out
 
 

@@ -112,3 +112,43 @@ def test_edges(spark):
 def test_query(spark, sf_dir):
     rows = registry.op3_secret_structure(spark, sf_dir).collect()
     assert len(rows) == runtime.table(spark, sf_dir, "documents").count()
+
+
+def test_more_structures():
+    ints = [num(int.from_bytes(rnd.token_bytes(k), "big") | 1 << (8 * k - 1)) for k in (128, 20, 128, 128, 20)]
+    dsa = tlv(0x30, num(0), *ints)
+    scheme = tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")), tlv(0x30, tlv(5)))
+    encrypted = tlv(0x30, scheme, tlv(4, rnd.token_bytes(64)))
+    ed = tlv(0x30, num(0), tlv(0x30, tlv(6, b"\x2b\x65\x70")), tlv(4, tlv(4, rnd.token_bytes(32))))
+    spaced = url(b'{ "alg" : "ES256" }') + "." + url({"sub": 1}) + "." + url(rnd.token_bytes(64))
+    ahead = url(b'\n{"alg":"RS256"}') + "." + url({"sub": 1}) + "." + url(rnd.token_bytes(64))
+    pem = lambda label, body, head="": f"-----BEGIN {label}-----\n{head}{body}\n-----END {label}-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    for text, want in [
+        (b64(dsa), ("der", "dsa_private")),
+        (pem("DSA PRIVATE KEY", b64(dsa)), ("pem", "dsa_private")),
+        (pem("ENCRYPTED PRIVATE KEY", b64(encrypted)), ("pem", "pkcs8_encrypted")),
+        (pem("RSA PRIVATE KEY", b64(rnd.token_bytes(96)), head), ("pem", "encrypted")),
+        (pem("PRIVATE KEY", b64(rsa()), "Comment: mine\n\n"), ("pem", "rsa_private")),
+        (b64(ed), ("der", "pkcs8_private")),
+        (spaced, ("jwt", "ES256")),
+        (ahead, ("jwt", "RS256")),
+    ]:
+        assert want in kinds(text), (want, kinds(text))
+    for text in (pem("RSA PRIVATE KEY", b64(rnd.token_bytes(95)), head), pem("DSA PRIVATE KEY", b64(dsa[:-1])), "www." + "a" * 40 + ".example.org", "a" * 30 + "." + "b" * 30 + "." + "c" * 30):
+        assert not kinds(text), text
+
+
+def test_hostile(spark):
+    """Halves of characters and deep nesting are no structure; they fail neither the scan nor the task."""
+    half = url(b'{"alg":"\\ud800"}') + "." + url({"sub": 1}) + "." + url(rnd.token_bytes(32))
+    deep = tlv(4, b"\0" * 8)
+    for _ in range(3000):
+        deep = tlv(0x30, num(0), ALGORITHM, tlv(4, deep))
+    blob = b"x"
+    for _ in range(1500):
+        blob = secrets.SSH_MAGIC + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(blob) + string(b"y")
+    array = url(b"[" * 20_000) + "." + url({"sub": 1}) + "." + url(rnd.token_bytes(32))
+    texts = [half, b64(deep), b64(blob), array, "-----BEGIN PRIVATE KEY-----" * 5000, "A" * 300_000 + "." + "B" * 300_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_confirmed"] for r in secrets.digest_columns(secrets.scan(df)).collect()] == [0] * len(texts)
