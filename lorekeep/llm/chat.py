@@ -184,5 +184,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         close()
         yield flush()
 
-    rows_in = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
+    # The last key is the text as it was before escaping; it is computed only where all others tie.
+    said = F.regexp_replace(F.substr("formatted", F.lit(1), F.length("formatted") - len(END)), r"(?s)\\(.)", "$1")
+    rows_in = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", said)
     return rows_in.select("conv_id", "formatted", "loss_start", "loss_end", F.size("attachments").alias("n")).mapInArrow(run, READ_BACK)

@@ -67,3 +67,10 @@ def test_whole_table(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     rows += [(-1, 0, "user", said), (-1, 1, "assistant", said)]
     assert {r["conv_id"]: tuple(r)[1:5] for r in registry.op4_typed_parts(spark, sf_dir).collect()} == expected(rows)
+
+
+def test_ties_by_text(spark):
+    """Turns that tie stand in the order of their texts, not of what escaping or the turn's end makes of them."""
+    texts = ["<s>", "<a", "ab", "ab!", "ab~", "", None, "\\", "[", "[INST]", "[J", "<|", "<~"]
+    rows = [(1, 0, "user", t) for t in texts] + [(1, 0, "assistant", t) for t in texts]
+    assert digests(spark, rows) == expected(rows)
