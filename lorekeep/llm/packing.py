@@ -19,6 +19,7 @@ an empty table gives an empty table; a text that spans many windows is cut in ea
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,9 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Partitions whose bases may be broadcast (16 bytes each); with more, the bases are joined by a shuffle.
 BROADCAST_PARTITIONS = 1_000_000
 _ENCODERS: dict[str, object] = {}
+#: White space that the word pattern need not match character by character: its matcher keeps a state for each, and gives
+#: up on about a million. The characters that count as white space in the pattern.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{4096,}")
 
 
 def encoder(path: str, pattern: str, special: dict[str, int]):
@@ -51,8 +55,25 @@ def encoder(path: str, pattern: str, special: dict[str, int]):
     return _ENCODERS[path]
 
 
-def _encode(enc, text: str, whole) -> list[int]:
-    return enc.encode(text, allowed_special="all") if any(s in text for s in whole) else enc.encode_ordinary(text)
+def _ordinary(enc, text: str) -> list[int]:
+    """The ids of a text without special tokens. Of a run of white space before a word, the pattern takes all but the last
+    character as one piece, and a run at the end whole: long ones are encoded as that piece, what is between them as usual."""
+    out, at = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+
+def _encode(enc, text: str, special: dict[str, int]) -> list[int]:
+    if not any(s in text for s in special):
+        return _ordinary(enc, text)
+    out = []
+    for part in re.split("(" + "|".join(map(re.escape, special)) + ")", text):
+        out += [special[part]] if part in special else _ordinary(enc, part)
+    return out
 
 
 def tokenize(df: DataFrame, path: str, pattern: str, special: dict[str, int], id_col: str = "doc_id", text_col: str = "text", id_type: str = "<u2") -> DataFrame:

@@ -51,3 +51,14 @@ def test_edges(spark):
     assert packing.pack(df.limit(0), *registry.bpe_50k()).count() == 0
     twice = spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["length"]) for r in packing.pack(twice, *registry.bpe_50k()).collect()) == [(0, 3), (7, 3), (7, 3)]
+
+
+def test_long_blanks(spark):
+    """Runs of white space of any length have the ids of the tokenizers library: before words, at the end, beside special tokens."""
+    run = "\n" * 5000
+    texts = [run, run + "x", "a" + run + " b", "a" + run + "\n", run + "<|endoftext|>" + run + "1", " " * 9000 + "a" + "　" * 4097 + "é", "\x1c" * 5000 + " a", "\t" * 4095 + "!", "a" * 30_000 + run]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(packing.pack(df, *registry.bpe_50k()).collect(), list(enumerate(texts)))
+    path, pattern, special = registry.bpe_50k()
+    ids = packing._encode(packing.encoder(path, pattern, special), "\n" * 1_000_000 + "x", special)
+    assert packing.encoder(path, pattern, special).decode(ids) == "\n" * 1_000_000 + "x"
