@@ -2,29 +2,36 @@
 
 A record is written as a WARC response (header lines, payload, two line ends) and hashed with SHA-256; its offset is its
 place in the file that holds its range of keys. Trees stand over ordered ranges of keys: a node of level L covers
-FANOUT ** L of them, and its hash is that of its children's numbers and hashes in order; a key is the lowest level. Two replicas
-are compared by the roots of their trees, then only below nodes that differ, level by level, down to the keys; only
+FANOUT ** L of them, and its hash is that of its children's numbers and hashes in order; a key is the lowest level. Levels
+are added until a replica's last one has at most FANOUT nodes, over which its root stands. Two replicas
+are compared by their roots, then only below nodes that differ, level by level, down to the keys; only
 records of those are read again. Keys rather than places bound the ranges, so that a lost record
 doesn't shift the ranges after it.
 
 Scale: only (key, length, digest) leave the scan, and each level has a fraction of the rows below. A key that many
-records share is summed before the shuffle (a count, and sums of its digests, which don't depend on order), so no
-group is ever gathered; a node has FANOUT children at most.
+records share is summed before the shuffle (a count, and sums of its digests, which don't depend on order); a node has
+FANOUT children at most. Offsets are running sums in two steps, over cells of a file (its keys, and in each the records by
+the first digits of their digests) and inside a cell, so that a key that very many records share is dealt to CELLS tasks.
 
-Defined results: null urls and payloads count as empty, a null key as -1; repeated equal records count, so one copy too
+Defined results: null urls and payloads count as empty; a null key is a key of its own, in a file of its own (null) and
+different from every number, negative ones included; repeated equal records count, so one copy too
 few is found; every record that differs is a row, also of those that share a key; identical replicas give an empty
 result, as do two empty ones; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm import runtime
 
-#: Children of a node; levels of a tree, so that a root covers FANOUT ** LEVELS keys; keys whose records share a file.
-FANOUT, LEVELS, FILE_KEYS = 16, 4, 4096
+#: Children of a node, and keys whose records share a file, as powers of two (whole numbers of any size are shifted exactly);
+#: hex digits that deal a key's records to cells.
+FANOUT_BITS, FILE_BITS, CELL_DIGITS = 4, 12, 3
+FANOUT, FILE_KEYS = 1 << FANOUT_BITS, 1 << FILE_BITS
 #: Nodes (16 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Equal copies that are made rows at once.
@@ -41,7 +48,7 @@ def record_bytes(url: Column, payload: Column) -> Column:
 def records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
     """(key, length, digest) of each record, stored: both replicas are read once."""
     whole = record_bytes(F.col(url), F.col(payload))
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("key"), whole.alias("whole"))
+    rows = df.select(F.col(key).cast("long").alias("key"), whole.alias("whole"))
     return runtime.store(rows.select("key", F.octet_length("whole").cast("long").alias("length"), F.sha2("whole", 256).alias("digest")), "warc-records")
 
 
@@ -55,15 +62,28 @@ def keys(found: DataFrame) -> DataFrame:
 def level_up(nodes: DataFrame) -> DataFrame:
     children = F.sort_array(F.collect_list(F.struct("node", "hash")))
     text = F.array_join(F.transform(children, lambda c: F.concat_ws(":", c["node"].cast("string"), c["hash"])), "\n")
-    return nodes.groupBy(F.floor(F.col("node") / FANOUT).alias("up")).agg(F.sha2(text, 256).alias("hash")).withColumnRenamed("up", "node")
+    return nodes.groupBy(_up(F.col("node")).alias("up")).agg(F.sha2(text, 256).alias("hash")).withColumnRenamed("up", "node")
+
+
+def _up(node: Column) -> Column:
+    """The number of a node's parent; null stands above null."""
+    return F.shiftright(node, FANOUT_BITS)
+
+
+def trees(*replicas: DataFrame) -> list[list[DataFrame]]:
+    """The levels of each replica's tree, keys first, the last of at most FANOUT nodes each; all have the same number
+    of levels, and each level is stored."""
+    out = [[runtime.store(keys(r), "warc-level")] for r in replicas]
+    while any(levels[-1].count() > FANOUT for levels in out):
+        for levels in out:
+            levels.append(runtime.store(level_up(levels[-1]), "warc-level"))
+    return out
 
 
-def tree(found: DataFrame) -> list[DataFrame]:
-    """The levels of the trees, keys first, roots last; each is stored."""
-    levels = [runtime.store(keys(found), "warc-level")]
-    for _ in range(LEVELS):
-        levels.append(runtime.store(level_up(levels[-1]), "warc-level"))
-    return levels
+def root(levels: list[DataFrame]) -> str:
+    """The hash over the last level's nodes in order, which are at most FANOUT."""
+    top = sorted(((r["node"] is not None, r["node"] or 0, r["hash"]) for r in levels[-1].collect()))
+    return hashlib.sha256(repr(top).encode()).hexdigest()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -71,14 +91,20 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def differing_keys(a: list[DataFrame], b: list[DataFrame]) -> DataFrame:
-    """The keys below differing roots, found by descent: a level is only looked at below nodes that differ."""
+    """The keys below differing roots, found by descent: a level is only looked at below nodes that differ, and none if the
+    roots are equal."""
+    if root(a) == root(b):
+        return a[0].select(F.col("node").alias("key")).limit(0)
     wrong: DataFrame | None = None
     for left, right in zip(reversed(a), reversed(b), strict=True):
         if wrong is not None:
             below = _small(wrong.select(F.col("node").alias("up")))
-            left, right = (x.join(below, F.floor(F.col("node") / FANOUT) == F.col("up"), "left_semi") for x in (left, right))
-        both = left.join(right.select("node", F.col("hash").alias("other")), "node", "full_outer")
-        wrong = runtime.store(both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("node"), "warc-wrong")
+            left, right = (x.join(below, _up(F.col("node")).eqNullSafe(F.col("up")), "left_semi") for x in (left, right))
+        both = left.join(right.select(F.col("node").alias("beside"), F.col("hash").alias("other")), F.col("node").eqNullSafe(F.col("beside")), "full_outer")
+        found = both.where(~F.col("hash").eqNullSafe(F.col("other"))).select(F.coalesce("node", "beside").alias("node"))
+        upper, wrong = wrong, runtime.store(found, "warc-wrong")
+        if upper is not None:
+            runtime.drop(upper)
     return wrong.withColumnRenamed("node", "key")
 
 
@@ -90,30 +116,54 @@ def audit(left: DataFrame, right: DataFrame, key: str = "page_id", url: str = "u
     more share the key, nothing tells which became which, so each is missing or extra. Offset and length are the left's
     record's in its file (of equal copies, the first ones'); null for extra ones."""
     a, b = records(left, key, url, payload), records(right, key, url, payload)
-    wrong = _small(differing_keys(tree(a), tree(b)))
+    built = trees(a, b)
+    wrong = _small(differing_keys(*built))
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     both = a.select("key", "length", "digest", one.alias("a"), none.alias("b")).unionByName(b.select("key", "length", "digest", none.alias("a"), one.alias("b")))
-    counted = both.join(wrong, "key", "left_semi").groupBy("key", "length", "digest").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = _where_in(both, wrong, "key").groupBy("key", "length", "digest").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counted = runtime.store(counted, "warc-counted")
+    for level in (*built[0], *built[1]):
+        runtime.drop(level)
     # One record on each side, and the key differs: the one became the other.
     side = lambda k: F.min(F.when(F.col(k) > 0, F.col("digest"))).alias(f"digest_{k}")
     pairs = counted.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), side("a"), side("b")).where("a = 1 AND b = 1")
     pairs = runtime.store(pairs.select("key", F.lit("corrupt").alias("status"), "digest_a", "digest_b", none.alias("copy")), "warc-pairs")
     more = F.col("a") - F.col("b")
-    rest = counted.where("a <> b").join(_small(pairs.select("key")), "key", "left_anti")
+    rest = _where_in(counted.where("a <> b"), _small(pairs.select("key")), "key", "left_anti")
     # A row for each copy, in two steps, so that no array holds a number for each of very many.
     rest = rest.withColumn("more", F.abs(more)).withColumn("block", F.explode(F.sequence(none, F.floor((F.col("more") - 1) / COPIES))))
     rest = rest.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("more"), (F.col("block") + 1) * COPIES) - 1)))
     rest = rest.select("key", F.when(more > 0, "missing").otherwise("extra").alias("status"), F.when(more > 0, F.col("digest")).alias("digest_a"), F.when(more < 0, F.col("digest")).alias("digest_b"), "copy")
-    located = pairs.unionByName(rest).withColumn("file_id", F.floor(F.col("key") / FILE_KEYS))
-    # Offsets, only in files with something to report: rows of three numbers and a digest each.
+    located = pairs.unionByName(rest).withColumn("file_id", F.shiftright("key", FILE_BITS))
+    out = _located(located, _offsets(a, located))
+    return out.select(F.col("key").alias(key), "status", "file_id", "record_offset", "length", "digest_a", "digest_b")
+
+
+def _where_in(df: DataFrame, some: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose ``column``, null or not, is (or isn't) in ``some``, which has no other column."""
+    return df.join(some.withColumnRenamed(column, "__in"), F.col(column).eqNullSafe(F.col("__in")), how)
+
+
+def _offsets(found: DataFrame, located: DataFrame) -> DataFrame:
+    """(at_key, at_digest, first, length) of the records in files with something to report: where the first of equal copies begins."""
     files = _small(located.select("file_id").distinct())
-    order = Window.partitionBy("file_id").orderBy("key", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    placed = a.withColumn("file_id", F.floor(F.col("key") / FILE_KEYS)).join(files, "file_id", "left_semi")
-    placed = placed.withColumn("record_offset", F.coalesce(F.sum("length").over(order), F.lit(0)))
-    at = placed.groupBy("key", F.col("digest").alias("digest_a")).agg(F.min("record_offset").alias("first"), F.first("length").alias("length"))
-    out = located.join(at, ["key", "digest_a"], "left").withColumn("record_offset", F.col("first") + F.col("copy") * F.col("length"))
-    return out.select(F.when(F.col("key") >= 0, F.col("key")).alias(key), "status", "file_id", "record_offset", "length", "digest_a", "digest_b")
+    placed = _where_in(found.withColumn("file_id", F.shiftright("key", FILE_BITS)), files, "file_id")
+    # Equal copies are one row from here on.
+    placed = placed.groupBy("file_id", "key", "digest").agg(F.sum("length").alias("bytes"), F.first("length").alias("length"))
+    placed = runtime.store(placed.withColumn("cell", F.substring("digest", 1, CELL_DIGITS)), "warc-placed")
+    earlier = Window.partitionBy("file_id").orderBy("key", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    # A file has a cell for each key, and more only for keys that records share: what one task sums up is bounded.
+    cells = placed.groupBy("file_id", "key", "cell").agg(F.sum("bytes").alias("bytes"))
+    cells = cells.select("file_id", F.col("key").alias("cell_key"), F.col("cell").alias("in_cell"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("key", "cell").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("inside", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    both = placed.join(cells.drop("file_id"), F.col("key").eqNullSafe(F.col("cell_key")) & (F.col("cell") == F.col("in_cell")))
+    return both.select(F.col("key").alias("at_key"), F.col("digest").alias("at_digest"), (F.col("start") + F.col("inside")).alias("first"), "length")
+
+
+def _located(located: DataFrame, offsets: DataFrame) -> DataFrame:
+    same = F.col("key").eqNullSafe(F.col("at_key")) & (F.col("digest_a") == F.col("at_digest"))
+    return located.join(offsets, same, "left").withColumn("record_offset", F.col("first") + F.col("copy") * F.col("length"))
 
 
 def damaged(df: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:

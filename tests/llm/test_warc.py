@@ -36,8 +36,9 @@ def test_locates_every_fault(spark):
 def test_descends_only_below_differences(spark):
     left = [(i, "u", str(i), 0, 0) for i in range(3000)]
     right = [(i, "u", str(i) + "!" * (i == 1234), 0, 0) for i in range(3000)]
-    a, b = (warc.tree(warc.records(pages(spark, x))) for x in (left, right))
-    assert [x.count() for x in a] == [3000, 188, 12, 1, 1]
+    a, b = warc.trees(*(warc.records(pages(spark, x)) for x in (left, right)))
+    assert [x.count() for x in a] == [x.count() for x in b] == [3000, 188, 12]
+    assert warc.root(a) != warc.root(b)
     assert [r[0] for r in warc.differing_keys(a, b).collect()] == [1234]
 
 
@@ -84,3 +85,26 @@ def test_many_copies(spark, monkeypatch):
     monkeypatch.setattr(warc, "COPIES", 4)
     got = warc.audit(pages(spark, [(1, "u", "x", 0, 0)] * 13), pages(spark, [(1, "u", "x", 0, 0)] * 2)).collect()
     assert sorted(r["record_offset"] for r in got) == [k * size("u", "x") for k in range(11)]
+
+
+def test_signs_and_nulls(spark):
+    """Negative keys are keys like others, and a null key is none of them, -1 included."""
+    left = [(k, "u", "x", 0, 0) for k in (None, -1, -5, 0, 5, -(1 << 62), (1 << 62))]
+    right = [(k, "u", "x" if k in (0, 5) else "y", 0, 0) for k in (None, -1, -5, 0, 5, -(1 << 62), (1 << 62))]
+    got = run(spark, left, right)
+    assert {k: r["status"] for k, r in got.items()} == dict.fromkeys((None, -1, -5, -(1 << 62), 1 << 62), "corrupt")
+    assert got[None]["file_id"] is None and got[None]["record_offset"] == 0 and got[-1]["record_offset"] == size("u", "x") and got[-5]["file_id"] == -1
+    assert set(run(spark, left, left[1:])) == {None} and set(run(spark, left[:1], left[:2])) == {-1}
+    large = [((1 << 62) + k, "u", "x", 0, 0) for k in range(40)]
+    assert set(run(spark, large, large[:7] + large[8:])) == {large[7][0]}
+
+
+def test_equal_roots_end_the_audit(spark):
+    a, b = warc.trees(*(warc.records(pages(spark, [(i, "u", "x", 0, 0) for i in order])) for order in (range(500), reversed(range(500)))))
+    assert warc.root(a) == warc.root(b) and warc.differing_keys(a, b).count() == 0
+
+
+def test_hot_key_is_cut_into_cells(spark):
+    left = [(3, "u", f"text {i}", 0, 0) for i in range(2000)] + [(2, "u", "before", 0, 0), (4, "u", "after", 0, 0)]
+    got = run(spark, left, left[:2001])[4]
+    assert got["status"] == "missing" and got["record_offset"] == sum(size(r[1], r[2]) for r in left[:2001])
