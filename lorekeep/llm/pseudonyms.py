@@ -4,11 +4,18 @@ One pattern finds e-mail addresses, by their shape, and runs of digits and separ
 value may begin is tried, and what is found is validated: calendar dates by the calendar, IPv4 addresses by their range,
 phone numbers by their digit count, payment cards by their check digit. Values of a telling shape go first, so that no
 phone number or card runs into its neighbour; then, in what they leave, looser ones (see ``PASSES``). A valid value is
-permuted by a keyed Feistel network inside its own format: a number is split into two halves, and in each round one
+permuted by a keyed Feistel network inside its own format: a value is split into two halves, and in each round one
 half is shifted, modulo its own size, by a keyed SHA-256 of the other. That is a permutation of the format's values,
-so equal values get equal pseudonyms in every document, and different values different ones. Separators stay where they
-are; a card's check digit is computed anew, so a card stays a valid card; a date stays a date; an e-mail address keeps
-its domain's shape but not its host names; a phone number keeps its country code.
+so equal values get equal pseudonyms in every document, and different values different ones.
+
+- Cards, phone numbers, addresses: separators stay where they are, and one number in several spellings is one value. A
+  card's check digit is computed anew, so a card stays a valid card. A phone number after a ``+`` keeps its country code; one
+  without a ``+`` has none, and isn't linked with its international form.
+- Dates: of any year from 0000 to 9999. Those of ERA stay in it, so that usual dates stay usual, all others stay outside.
+  ``dd/MM/yyyy`` counts before ``MM/dd/yyyy``; a date that is one only in the second order (its day is above 12) becomes
+  another such, by permuting until one comes up (in WALK steps: fewer than one in 10**24 take more, and keep what came up last).
+- E-mail addresses: in lower case, each letter becomes a letter and each digit a digit, over name and domain together; the
+  rest stays, and ``.invalid`` is appended, so that no pseudonym is anyone's address.
 
 A text is split at the matches and joined again with their replacements, all in the JVM; nothing is shuffled.
 
@@ -55,8 +62,21 @@ CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){EMAIL}|{RUN}"
 #: Every candidate has one of these: a cheap test before the pattern.
 HINT = r"[@]|\d[\d ./()-]{5}"
 
-#: The span of the dates that are permuted: 270 * 270 days from 1900-01-01 on.
-FIRST_DAY, DATE_SIDE = "1900-01-01", 270
+#: Days from 0000-01-01 to 1970-01-01, and to 9999-12-31.
+EPOCH, LAST_DAY = 719_528, 3_652_424
+#: 1900-01-01 to 2099-12-31 as days since 0000-01-01: the first, and how many (17 * 4297). All others: 16 * 223,711.
+ERA, ERA_DAYS = 693_961, 73_049
+ERA_SIDES, OTHER_SIDES = (17, 4297), (16, 223_711)
+#: Steps in which a date looks for one of its order.
+WALK = 64
+#: The country codes of one and of two digits; all others have three.
+COUNTRY_ONE = "^[17]"
+COUNTRY_TWO = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _digest(key: str, parts: list[Column]) -> Column:
@@ -91,7 +111,7 @@ def permute_digits(digits: Column, key: str, tweak: str) -> Column:
     power = lambda k: F.pow(F.lit(10.0), k).cast("long")
     kind = F.concat(F.lit(tweak), F.lit("/"), n.cast("string"))
     out = feistel(F.substr(digits, F.lit(1), u).cast("long"), F.substr(digits, u + 1, v).cast("long"), power(u), power(v), key, kind)
-    return F.concat(F.lpad(out["l"].cast("string"), u, "0"), F.lpad(out["r"].cast("string"), v, "0"))
+    return _let(out, lambda x: F.concat(F.lpad(x["l"].cast("string"), u, "0"), F.lpad(x["r"].cast("string"), v, "0")))
 
 
 def luhn_sum(digits: Column, doubled: int) -> Column:
@@ -103,12 +123,12 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
 
-def _refill(shape: Column, digits: Column) -> Column:
-    """``digits`` put in place of the digits of ``shape``, one by one."""
+def _refill(shape: Column, digits: Column, places: str = "^[0-9]$") -> Column:
+    """``digits`` put in place of the digits (or other ``places``) of ``shape``, one by one."""
     chars = F.split(shape, "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     step = lambda acc, c: F.when(
-        c.rlike("^[0-9]$"), F.struct(F.concat(acc["out"], F.substr(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
+        c.rlike(places), F.struct(F.concat(acc["out"], F.substr(digits, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))
     ).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at")))
     return F.aggregate(chars, start, step)["out"]
 
@@ -118,46 +138,65 @@ def _digits(value: Column) -> Column:
 
 
 def is_card(value: Column) -> Column:
-    d = _digits(value)
-    return F.length(d).between(13, 19) & ~d.rlike(r"^(\d)\1*$") & (luhn_sum(d, 0) % 10 == 0)
+    return _let(_digits(value), lambda d: F.length(d).between(13, 19) & ~d.rlike(r"^(\d)\1*$") & (luhn_sum(d, 0) % 10 == 0))
 
 
 def card(value: Column, key: str) -> Column:
     """All digits but the check digit are permuted; that one follows."""
-    d = _digits(value)
-    body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card")
-    return _refill(value, F.concat(body, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string")))
+    body = _let(_digits(value), lambda d: _let(F.substr(d, F.lit(1), F.length(d) - 1), lambda x: permute_digits(x, key, "card")))
+    return _refill(value, _let(body, lambda x: F.concat(x, ((10 - luhn_sum(x, 1) % 10) % 10).cast("string"))))
 
 
 #: Date formats by the pattern that tells them: Spark's names for their parts.
 FORMATS = ((r"^\d{4}-", "yyyy-MM-dd"), (r"^\d{4}/", "yyyy/MM/dd"), (r"^\d{2}/", "dd/MM/yyyy"), (r"^\d{2}\.", "dd.MM.yyyy"))
+SLASH, MONTH_FIRST = FORMATS[2][0], "MM/dd/yyyy"
 
 
 def _day(value: Column) -> Column:
-    """Days since FIRST_DAY; null if it is no date of the calendar, or not in the span."""
-    parsed = F.coalesce(*(F.when(value.rlike(test), F.try_to_timestamp(value, F.lit(f))) for test, f in FORMATS))
-    day = F.datediff(F.to_date(parsed), F.to_date(F.lit(FIRST_DAY)))
-    return F.when(day.between(0, DATE_SIDE * DATE_SIDE - 1), day)
+    """Days since 0000-01-01; null if it is no date of the calendar. A date with slashes may be written in either order."""
+    tried = (*FORMATS, (SLASH, MONTH_FIRST))
+    parsed = F.coalesce(*(F.when(value.rlike(test), F.try_to_timestamp(value, F.lit(f))) for test, f in tried))
+    return F.unix_date(F.to_date(parsed)) + EPOCH
+
+
+def _moved(day: Column, key: str) -> Column:
+    """The day's pseudonym."""
+    era = day.between(ERA, ERA + ERA_DAYS - 1)
+    pick = lambda a, b: F.when(era, F.lit(a)).otherwise(F.lit(b))
+    a, b = (pick(*sides) for sides in zip(ERA_SIDES, OTHER_SIDES, strict=True))
+    place = F.when(era, day - ERA).otherwise(F.when(day < ERA, day).otherwise(day - ERA_DAYS))
+    out = _let(place, lambda x: feistel(F.floor(x / b), x % b, a, b, key, pick("date/era", "date")))
+    placed = _let(out, lambda x: (x["l"] * b + x["r"]).cast("int"))
+    return _let(placed, lambda x: F.when(era, x + ERA).otherwise(F.when(x < ERA, x).otherwise(x + ERA_DAYS)))
+
+
+def _calendar(day: Column) -> Column:
+    return F.date_from_unix_date(day - EPOCH)
 
 
 def date(value: Column, key: str) -> Column:
-    side = F.lit(DATE_SIDE)
-    day = _day(value)
-    out = feistel(F.floor(day / side), day % side, side, side, key, F.lit("date"))
-    moved = F.date_add(F.to_date(F.lit(FIRST_DAY)), (out["l"] * DATE_SIDE + out["r"]).cast("int"))
-    return F.coalesce(*(F.when(value.rlike(test), F.date_format(moved, f)) for test, f in FORMATS))
+    month_first = value.rlike(SLASH) & F.try_to_timestamp(value, F.lit(FORMATS[2][1])).isNull()
+    start = F.struct(_day(value).cast("int").alias("day"), F.lit(False).alias("done"))
+
+    def step(acc: Column, _: Column) -> Column:
+        new = _let(_moved(acc["day"], key), lambda day: F.struct(day.alias("day"), (F.dayofmonth(_calendar(day)) > 12).alias("done")))
+        return F.when(acc["done"], acc).otherwise(new)
+
+    steps = F.sequence(F.lit(1), F.when(month_first, F.lit(WALK)).otherwise(F.lit(1)))
+    form = F.when(month_first, F.lit(MONTH_FIRST)).otherwise(F.coalesce(*(F.when(value.rlike(test), F.lit(f)) for test, f in FORMATS)))
+    return F.call_function("date_format", _calendar(F.aggregate(steps, start, step)["day"]), form)
 
 
 def is_ip(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda x: x.cast("int") < 256)
+    return F.forall(F.split(value, r"\."), lambda x: x.cast("int") < 256)  # three digits at most, by the pattern
 
 
 def ip(value: Column, key: str) -> Column:
-    o = [F.get(F.split(value, r"\."), k).cast("int") for k in range(4)]
     side = F.lit(65536)
-    out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], side, side, key, F.lit("ip"))
+    pair = lambda o, k: F.get(o, k).cast("int") * 256 + F.get(o, k + 1).cast("int")
+    out = _let(F.split(value, r"\."), lambda o: feistel(pair(o, 0), pair(o, 2), side, side, key, F.lit("ip")))
     part = lambda x: F.concat_ws(".", F.floor(x / 256).cast("string"), (x % 256).cast("string"))
-    return F.concat_ws(".", part(out["l"]), part(out["r"]))
+    return _let(out, lambda x: F.concat_ws(".", part(x["l"]), part(x["r"])))
 
 
 def is_phone(value: Column) -> Column:
@@ -165,17 +204,41 @@ def is_phone(value: Column) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """The country code, if there is one, stays; the other digits are permuted."""
-    code = F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0)
-    rest = F.substr(value, F.length(code) + 1, F.length(value))
-    return F.concat(code, _refill(rest, permute_digits(_digits(rest), key, "phone")))
+    """The country code after a ``+`` stays, however it is spaced; the other digits are permuted."""
+    code = lambda d: F.when(~value.startswith("+"), 0).when(d.rlike(COUNTRY_ONE), 1).when(d.rlike(COUNTRY_TWO), 2).otherwise(3)
+    parts = lambda d: _let(code(d), lambda k: F.struct(F.substr(d, F.lit(1), k).alias("code"), F.substr(d, k + 1, F.length(d)).alias("rest")))
+    return _refill(value, _let(_let(_digits(value), parts), lambda x: F.concat(x["code"], permute_digits(x["rest"], key, "phone"))))
+
+
+#: Letters and digits of an address, one by one, and the hex digits of a hash that shift one of them.
+SIGN, SIGN_HEX = "^[a-z0-9]$", 4
+
+
+def _shift(half: Column, other: Column, key: str, turn: Column) -> Column:
+    """Each sign of ``half`` shifted, within its own kind, by a keyed stream over ``other``."""
+    said = F.array_join(F.transform(other, lambda x: x["v"].cast("string")), ",")
+    block = lambda b: F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), turn.cast("string"), b.cast("string"), said), 256)
+    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(half) * SIGN_HEX / 64).cast("int")), block), "")
+    by = lambda s, k: F.conv(F.substr(s, k * SIGN_HEX + 1, F.lit(SIGN_HEX)), 16, 10).cast("int")
+    return _let(stream, lambda s: F.transform(half, lambda x, k: F.struct(((x["v"] + by(s, k)) % x["n"]).alias("v"), x["n"].alias("n"))))
 
 
 def email(value: Column, key: str) -> Column:
-    """The address, in lower case, stands for a number; sixteen digits of it, permuted, name the new one."""
-    name = _digest(key, [F.lit("email"), F.lower(value)])
-    digits = permute_digits(F.lpad((name % 10**16).cast("string"), 16, "0"), key, "email")
-    return F.concat(F.lit("user"), digits, F.lit("@mail.invalid"))
+    """Letters and digits of the address in lower case, permuted by their kinds."""
+    low = F.lower(value)
+    signs = F.filter(F.split(low, ""), lambda c: c.rlike(SIGN))
+    digit = lambda c: c < "a"
+    coded = F.transform(signs, lambda c: F.struct((F.ascii(c) - F.when(digit(c), 48).otherwise(97)).alias("v"), F.when(digit(c), 10).otherwise(26).alias("n")))
+    half = lambda x: F.floor(F.size(x) / 2).cast("int")
+    start = _let(coded, lambda x: F.struct(F.slice(x, F.lit(1), half(x)).alias("l"), F.slice(x, half(x) + 1, F.size(x)).alias("r")))
+
+    def turn(acc: Column, i: Column) -> Column:
+        even = F.struct(_shift(acc["l"], acc["r"], key, i).alias("l"), acc["r"].alias("r"))
+        return F.when(i % 2 == 0, even).otherwise(F.struct(acc["l"].alias("l"), _shift(acc["r"], acc["l"], key, i).alias("r")))
+
+    both = lambda out: F.transform(F.concat(out["l"], out["r"]), lambda x: F.chr(x["v"] + F.when(x["n"] == 10, 48).otherwise(97)))
+    written = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda out: F.array_join(both(out), ""))
+    return F.concat(_refill(low, written, SIGN), F.lit(".invalid"))
 
 
 #: (kind, validation, pseudonym)
@@ -188,8 +251,9 @@ KINDS = (
 )
 
 
-def _valid(kind: Column, value: Column) -> Column:
-    return reduce(lambda otherwise, k: F.when(kind == k[0], k[1](value)).otherwise(otherwise), KINDS, F.lit(False))
+def _valid(kind: Column, value: Column, of: set[str]) -> Column:
+    """Whether the value is one of its kind, which is one ``of`` these."""
+    return reduce(lambda otherwise, k: F.when(kind == k[0], k[1](value)).otherwise(otherwise), [k for k in KINDS if k[0] in of], F.lit(False))
 
 
 def _part(kind: Column, value: Column) -> Column:
@@ -206,11 +270,12 @@ def _split(text: Column, options: tuple[tuple[str, str], ...], last: bool) -> Co
     chunks = F.split(seen, r"(?=[+(]|(?<!\d)\d)", -1)
     windows = F.regexp_extract_all(seen, F.lit(rf"(?=([\s\S](?:[+(]|(?<!\d)\d)[\s\S]{{0,{WINDOW}}}))"), 1)
     tried = lambda w: F.array(*(_part(F.lit(kind), F.regexp_extract(w, rf"^[\s\S]({pattern})", 1)) for kind, pattern in options))
+    of = {kind for kind, _ in options}
     if last:
-        taken = lambda x: F.when(x["value"] != "", _part(F.when(_valid(x["kind"], x["value"]), x["kind"]), x["value"]))
+        taken = lambda x: F.when(x["value"] != "", _part(F.when(_valid(x["kind"], x["value"], of), x["kind"]), x["value"]))
         first = lambda w: F.get(F.transform(tried(w), taken), F.lit(0))
     else:
-        first = lambda w: F.get(F.filter(tried(w), lambda x: (x["value"] != "") & _valid(x["kind"], x["value"])), F.lit(0))
+        first = lambda w: F.get(F.filter(tried(w), lambda x: (x["value"] != "") & _valid(x["kind"], x["value"], of)), F.lit(0))
     places = F.zip_with(F.slice(chunks, F.lit(2), F.size(windows)), F.transform(windows, first), lambda c, x: F.struct(c.alias("chunk"), x.alias("part")))
     none = F.lit(None).cast("string")
     start = F.struct(
