@@ -1,28 +1,38 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
-Each rule needs a few features of a text and rejects by a predicate on them. A bounded sample gives every
-rule's rejection rate and the time it takes; the cascade runs the rules in the order of rejection per cost and
+Each rule needs a few features of a text and rejects by a predicate on them. A sample by a hash of the texts, taken
+over all files and bounded by ``sample_rows``, gives every rule's rejection rate and the CPU time that it adds to
+the features which are computed anyway; the cascade runs the rules in the order of rejection per cost and
 computes the features of a rule only for rows that no earlier rule rejected (the features stand under a CASE
-that Spark evaluates lazily). The order changes the work, never the verdict: a row is kept exactly if no rule
+that Spark evaluates lazily). The order is logged. It changes the work, never the verdict: a row is kept exactly if no rule
 rejects it.
 
 Defined results: a null text counts as empty; an empty text has no words and fails ``few_words``; repeated
-rows and ties get the same verdict each; an empty table gives an empty table; columns of the input pass
-through unchanged, and helper columns carry the prefix ``__q_``, which input columns may not use.
+rows and ties get the same verdict each; an empty table gives an empty table. Columns of the input pass
+through unchanged under any name; only in ``quality_report`` one that is named like a figure (see ``REPORT``) gives way to it.
 """
 
 from __future__ import annotations
 
-import time
+import logging
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm import runtime
 from lorekeep.llm import text as T
 
+LOG = logging.getLogger(__name__)
 P = "__q_"
+#: All columns of the input, as one that no feature can clash with.
+GIVEN = P + "given"
+#: Rows of the sample, at most about.
+SAMPLE_ROWS = 1000
+#: Runs of each measurement, of which the least counts.
+RUNS = 2
 TEXT = P + "text"
 #: Words of a window, in the rule about repeats.
 WINDOW = 8
@@ -117,7 +127,7 @@ class RuleStats:
 
     @property
     def worth(self) -> float:
-        return self.rejection / max(self.seconds, 1e-4)
+        return self.rejection / max(self.seconds, 1e-3)
 
 
 FEW_WORDS = Rule("few_words", ("words",), lambda: _c("n_words") < 20)
@@ -144,26 +154,55 @@ def with_features(df: DataFrame, groups: Sequence[str], alive: Column) -> DataFr
     return df
 
 
-def measure(df: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int = 400) -> list[RuleStats]:
-    """Each rule's rejection rate, and the seconds it takes, on the first ``sample_rows`` rows.
-
-    Spark's incremental take evaluates a rule on that many rows only and returns one boolean each: no text
-    leaves the executors, and the work doesn't grow with the table. The least of two runs counts, less the
-    least of a run with no rule in it.
+def sample(df: DataFrame, text: str, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``sample_rows`` texts, stored in one file: those whose hash falls below their share of all rows. It depends on
+    the texts alone, not on their order or their files; copies are all in it or none is, so a hot one is kept to one."""
+    rows = df.select(T.whole(F.col(text)).alias(TEXT))
+    total = rows.count()
+    parts = max(1, total // max(1, sample_rows))
+    chosen = rows.where(F.pmod(F.xxhash64(TEXT, F.lit(7)), F.lit(parts)) == 0).dropDuplicates([TEXT])
+    return runtime.store(chosen.coalesce(1), "quality-sample")
+
+
+def _cpu_seconds(probe: DataFrame) -> tuple[float, list]:
+    """What the executors' threads worked for one job, by Spark's own metrics, and its rows."""
+    sc = probe.sparkSession.sparkContext
+    group = f"lorekeep-{uuid.uuid4().hex}"
+    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description")}
+    sc.setJobGroup(group, "quality rules: measure")
+    try:
+        rows = probe.collect()
+    finally:
+        for k, v in before.items():
+            sc.setLocalProperty(k, v)
+    scala = sc._jsc.sc()
+    scala.listenerBus().waitUntilEmpty()
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    stages = {s for job in jobs if job is not None for s in job.stageIds}
+    return sum(scala.statusStore().lastStageAttempt(s).executorCpuTime() for s in stages) / 1e9, rows
+
+
+def measure(df: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS, given: Sequence[str] = ()) -> list[RuleStats]:
+    """Each rule's rejection rate, and the CPU seconds that it adds, on a sample; the features ``given`` are there anyway.
+
+    Only counts leave the executors. The sample is stored with the given features, so that a run reads them and computes no
+    more than its rule adds. The least of a few runs counts, less the least of runs with no rule in it.
     """
-    base = df.select(T.whole(F.col(text)).alias(TEXT))
+    base = sample(df, text, sample_rows)
+    if given:
+        base = runtime.store(with_features(base, given, F.lit(True)), "quality-sample")
 
-    def run(rule: Rule | None) -> tuple[float, float]:
+    def probe(rule: Rule | None) -> DataFrame:
+        """A new plan each time: Spark would reuse the stages of an old one."""
         if rule is None:
-            probe = base.select((F.length(TEXT) < 0).alias("r"))
-        else:
-            probe = with_features(base, rule.needs, F.lit(True)).select(F.coalesce(rule.rejects(), F.lit(False)).alias("r"))
-        took, rows = [], []
-        for _ in range(2):
-            began = time.perf_counter()
-            rows = probe.limit(sample_rows).collect()
-            took.append(time.perf_counter() - began)
-        return min(took), sum(r[0] for r in rows) / max(1, len(rows))
+            return base.agg(F.count(F.lit(1)), F.lit(0), F.sum(F.length(TEXT)))
+        rows = with_features(base, rule.needs, F.lit(True)).withColumn("r", F.coalesce(rule.rejects(), F.lit(False)).cast("int"))
+        return rows.agg(F.count(F.lit(1)), F.sum("r"), F.sum(F.length(TEXT)))
+
+    def run(rule: Rule | None) -> tuple[float, float]:
+        took = [_cpu_seconds(probe(rule)) for _ in range(RUNS)]
+        rows, rejected = took[-1][1][0][:2]
+        return min(t for t, _ in took), (rejected or 0) / max(1, rows)
 
     idle = run(None)[0]
     return [RuleStats(rule, share, max(0.0, took - idle)) for rule in rules for took, share in [run(rule)]]
@@ -171,7 +210,18 @@ def measure(df: DataFrame, text: str, rules: Sequence[Rule], sample_rows: int =
 
 def ordered(stats: Sequence[RuleStats]) -> list[Rule]:
     """The rules by rejection per cost, the best first; ties stay in the given order."""
-    return [s.rule for s in sorted(stats, key=lambda s: -s.worth)]
+    best = sorted(stats, key=lambda s: -s.worth)
+    LOG.info("quality rules: %s", ", ".join(f"{s.rule.name} ({s.rejection:.4f} in {s.seconds:.3f} s)" for s in best))
+    return [s.rule for s in best]
+
+
+def _apart(df: DataFrame, text: str) -> DataFrame:
+    """The text beside all columns of the input as one, so that a feature clashes with none of them."""
+    return df.select(F.struct("*").alias(GIVEN), T.whole(F.col(f"`{text}`")).alias(TEXT))
+
+
+def _given(columns: Sequence[str]) -> list[Column]:
+    return [F.col(GIVEN)[c].alias(c) for c in columns]
 
 
 def cascade(df: DataFrame, rules: Sequence[Rule], alive: Column | None = None) -> DataFrame:
@@ -187,26 +237,26 @@ def cascade(df: DataFrame, rules: Sequence[Rule], alive: Column | None = None) -
     return df
 
 
-def quality_report(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = 400) -> DataFrame:
+#: Features that the report has for every row, whatever the verdict.
+FIGURES = ("words", "word_chars", "symbols", "lines", "repeats")
+REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+def quality_report(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The input's columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
-    rejected_by: the base figures for every row, and the cascade's verdict on rows that the base rules pass."""
-    rules = ordered(measure(df, text, rules, sample_rows))
-    own = [c for c in df.columns if c not in REPORT]
-    out = df.withColumn(TEXT, T.whole(F.col(text)))
-    out = with_features(out, ("words", "word_chars", "symbols", "lines", "repeats"), F.lit(True))
+    rejected_by: the figures for every row, and the cascade's verdict on rows that the base rules pass."""
+    rules = ordered(measure(df, text, rules, sample_rows, FIGURES))
+    out = with_features(_apart(df, text), FIGURES, F.lit(True))
     failed = FEW_WORDS.rejects() | REPEATS.rejects()
     out = cascade(out.withColumn(P + "base_failed", failed), rules, alive=~_c("base_failed"))
     out = out.withColumn(P + "kept", ~_c("base_failed") & _c("rejected_by").isNull())
-    return out.select(*(F.col(f"`{c}`") for c in own), *(_c(c).alias(c) for c in REPORT))
-
-
-REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+    return out.select(*_given([c for c in df.columns if c not in REPORT]), *(_c(c).alias(c) for c in REPORT))
 
 
-def keep_good(df: DataFrame, text: str = "text", rules: Sequence[Rule] = (*BASE_RULES, *RULES), sample_rows: int = 400) -> DataFrame:
+def keep_good(df: DataFrame, text: str = "text", rules: Sequence[Rule] = (*BASE_RULES, *RULES), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, with the input's columns: here every rule stands in the cascade."""
-    out = cascade(df.withColumn(TEXT, T.whole(F.col(text))), ordered(measure(df, text, rules, sample_rows)))
+    out = cascade(_apart(df, text), ordered(measure(df, text, rules, sample_rows)))
     # Without a column that isn't deterministic, Catalyst would push the filter below the cascade and copy all
     # expressions into it, each feature many times over.
     out = out.withColumn(P + "fence", F.monotonically_increasing_id())
-    return out.where(_c("rejected_by").isNull() & (_c("fence") >= 0)).select(*(F.col(f"`{c}`") for c in df.columns))
+    return out.where(_c("rejected_by").isNull() & (_c("fence") >= 0)).select(*_given(df.columns))

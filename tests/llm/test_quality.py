@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from lorekeep.llm import quality, registry, runtime
 
 
@@ -61,3 +64,37 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a " * 30), (1, None), (1, None)], "doc_id long, text string")
     assert [r["kept"] for r in quality.quality_report(df).collect()] == [False] * 3
     assert quality.quality_report(df.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Names of helpers and figures in the input: the former pass through, the latter give way in the report only."""
+    df = spark.createDataFrame([(1, "word " * 5, "w", 7, True, "t")], "doc_id long, text string, __q_words string, __q_n_words int, kept boolean, __q_text string")
+    row = quality.quality_report(df).collect()[0].asDict()
+    assert row["__q_words"] == "w" and row["__q_n_words"] == 7 and row["__q_text"] == "t" and row["kept"] is False and row["n_words"] == 5
+    good = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(30)), "w", 7, True, "t")], df.schema)
+    assert [tuple(r) for r in quality.keep_good(good).collect()] == [tuple(r) for r in good.collect()]
+
+
+def test_rejected_rows_are_not_looked_at(spark, monkeypatch):
+    """A feature that only a later rule needs is not evaluated for a row that an earlier one rejected: here it would fail."""
+    fails = lambda df, alive: df.withColumn(quality.P + "bomb", F.when(alive, F.when(F.length(quality.TEXT) < 30, F.raise_error(F.lit("looked at"))).otherwise(1)))
+    monkeypatch.setitem(quality.FEATURES, "bomb", (fails, ()))
+    later = quality.Rule("bomb", ("bomb",), lambda: F.col(quality.P + "bomb") < 0)
+    df = spark.createDataFrame([(1, "too few"), (2, " ".join(f"word{i}" for i in range(30)))], "doc_id long, text string").withColumn(quality.TEXT, F.col("text"))
+    got = quality.cascade(df, (quality.FEW_WORDS, later)).collect()
+    assert [r["__q_rejected_by"] for r in got] == ["few_words", None]
+    with pytest.raises(Exception, match="looked at"):
+        quality.cascade(df, (later, quality.FEW_WORDS)).collect()
+
+
+def test_sample_and_order(spark, sf_dir):
+    """The sample is the same whatever the order and the files, spans all of them, and finds the shares of rejection."""
+    docs = runtime.table(spark, sf_dir, "documents").select("text")
+    one, two = (sorted(r[0] for r in quality.sample(d, "text", 40).collect()) for d in (docs, docs.repartition(7).orderBy(F.desc("text"))))
+    assert one == two and 10 < len(one) < 100
+    stats = quality.measure(docs, "text", quality.BASE_RULES + quality.RULES, 10_000)
+    texts = {r[0] or "" for r in docs.collect()}
+    assert stats[0].rejection == sum(figures(t)[0] < 20 for t in texts) / len(texts)
+    assert all(s.seconds >= 0 for s in stats) and sum(s.seconds for s in stats) > 0
+    empty = quality.measure(docs.limit(0), "text", quality.RULES)
+    assert [s.rejection for s in empty] == [0.0] * len(quality.RULES)
