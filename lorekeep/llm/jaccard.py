@@ -316,11 +316,12 @@ def _blocks(groups: DataFrame, sizes: DataFrame, block_tokens: int) -> DataFrame
 def _candidates(keyed: DataFrame) -> DataFrame:
     """Edges from each (key, doc_id) to the key's least document, where there is another.
 
-    Ends of keys are found with partial aggregates and joined back: a key that very many documents have is no window
-    in one task, and AQE may split its side of the join.
+    Keys are shuffled once, for the ends and for the join with them. A key that very many documents have is no window: its
+    ends are aggregated as its rows pass, and a document has dozens of keys, so one key's rows are a small part of all.
     """
-    ends = keyed.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select("key", "v")
-    return keyed.join(ends, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
+    dealt = keyed.select("key", "doc_id").repartition("key")
+    ends = dealt.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).where("v < last").select("key", "v")
+    return dealt.join(ends, "key").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1_000_000, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
