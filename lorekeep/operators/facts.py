@@ -74,27 +74,3 @@ def conflicts(proposed: DataFrame, facts: DataFrame) -> DataFrame:
     joined = proposed.join(held, ["subject", "predicate"], "left")
     other = F.collect_set(F.when(F.col("held") != F.col("object"), F.col("held")))
     return joined.groupBy("fact_id", "subject", "predicate", "object").agg(F.array_join(F.sort_array(other), ",").alias("conflicting"))
-
-
-#: Rules that turn a sentence into a fact: (pattern, predicate, group of the subject, group of the object).
-RULES = (
-    (r"^([A-Z]\S*) uses ([^.?]+)[.]$", "uses", 1, 2),
-    (r"^([A-Z]\S*) depends on ([^.?]+)[.]$", "depends_on", 1, 2),
-    (r"^([A-Z]\S*) replaced ([^.?]+) with [^.?]+[.]$", "replaced", 1, 2),
-    (r"^([A-Z]\S*) works on ([^.?]+)[.]$", "works_on", 1, 2),
-)
-
-
-def modality(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    maybe = low.contains("might") | low.contains("could") | low.contains("maybe")
-    planned = low.contains("will ") | low.contains("plan to")
-    return F.when(sentence.contains("?"), "question").when(maybe, "hypothetical").when(planned, "planned").otherwise("asserted")
-
-
-def extract(texts: DataFrame) -> DataFrame:
-    """(source_id, subject, predicate, object, modality) of every sentence that a rule fits; questions give none."""
-    sentences = texts.select("source_id", F.explode(F.split("document", r"(?<=[.?!])\s+")).alias("s"))
-    found = F.array(*(F.when(F.col("s").rlike(p), F.struct(F.regexp_extract("s", p, a).alias("subject"), F.lit(name).alias("predicate"), F.regexp_extract("s", p, b).alias("object"))) for p, name, a, b in RULES))
-    rows = sentences.select("source_id", modality(F.col("s")).alias("modality"), F.explode(F.array_compact(found)).alias("f"))
-    return rows.where("modality <> 'question'").select("source_id", "f.subject", "f.predicate", "f.object", "modality")

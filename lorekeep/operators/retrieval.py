@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 #: Queries that may be broadcast at once; more are taken in blocks of this size.
 QUERY_BLOCK = 10_000
+# Words that no query searches for.
+STOP_WORDS = (
+    "the", "and", "for", "with", "from", "that", "this", "into", "what", "when", "where", "which", "while", "have", "has", "had", "was",
+    "were", "are", "is", "how", "why", "all", "our", "your", "their", "about", "show", "tell", "please", "does", "did", "using",
+)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,13 +64,15 @@ def tokens(text: Column) -> Column:
 
 
 def lexical_score(document: Column, query_tokens: list[str], context_tokens: tuple[str, ...] = (), context_weight: float = 0.5) -> Column:
-    """The share of the weight of the query's tokens (1) and its context's (half) that a document has."""
+    """The share of the weight of the query's tokens (1) and its context's (half) that a document has; stop words count for
+    neither. The document's tokens are met with the query's once; a null document scores 0."""
     weights = {t: context_weight for t in context_tokens} | {t: 1.0 for t in query_tokens}
+    weights = {t: w for t, w in sorted(weights.items()) if t not in STOP_WORDS}
     if not weights:
         return F.lit(0.0)
-    have = tokens(document)
-    got = sum((F.when(F.array_contains(have, t), w).otherwise(0.0) for t, w in sorted(weights.items())), F.lit(0.0))
-    return got / sum(weights.values())
+    weight = F.create_map(*(F.lit(x) for item in weights.items() for x in item))
+    have = F.array_intersect(tokens(document), F.array(*map(F.lit, weights)))
+    return F.coalesce(F.aggregate(have, F.lit(0.0), lambda s, t: s + F.element_at(weight, t)), F.lit(0.0)) / sum(weights.values())
 
 
 def sparse_candidates(records: DataFrame, query_tokens: list[str], k: int, context: tuple[str, ...] = ()) -> DataFrame:
@@ -75,17 +82,20 @@ def sparse_candidates(records: DataFrame, query_tokens: list[str], k: int, conte
 
 
 def merge_candidates(*lists: DataFrame) -> DataFrame:
-    """One row for each id, with the larger of each score that it has in any list."""
-    out = lists[0]
-    for more in lists[1:]:
-        out = out.unionByName(more, allowMissingColumns=True)
-    return out.groupBy("id").agg(F.max("score").alias("score"), F.max("dense").alias("dense"))
+    """One row for each query and id, with the larger of each score that it has in any list."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists).groupBy("query_id", "id").agg(F.max("score").alias("score"), F.max("dense").alias("dense"))
+
+
+def for_each(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates of a search by words, which are the same few for all queries, under each ``query_id``."""
+    one = candidates.agg(F.collect_list(F.struct(*candidates.columns)).alias("c"))
+    return queries.select("query_id").join(F.broadcast(one)).select("query_id", F.explode("c").alias("c")).select("query_id", "c.*")
 
 
 def rerank(candidates: DataFrame, k: int) -> DataFrame:
-    """By lexical score, then dense score, then id; nulls count as none."""
+    """Each query's first ``k`` by lexical score, then dense score, then id; nulls count as none."""
     order = (F.coalesce("score", F.lit(0.0)).desc(), F.coalesce("dense", F.lit(0.0)).desc(), F.col("id"))
-    return candidates.orderBy(*order).limit(k)
+    return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
 def recall(ranked: DataFrame, relevant: Column, k: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.engine import views as V
-from lorekeep.engine.session import table
 from lorekeep.operators import facts as K
 from lorekeep.plans.registry import register
 
@@ -79,18 +78,3 @@ def kg_conflicts(spark, root):
 def kg_candidates_page(spark, root):
     open_facts = V.facts(spark, root).where("predicate = 'ordered_3' AND valid_to IS NULL")
     return open_facts.orderBy("valid_from", "fact_id").offset(25).limit(50).select("fact_id", "subject", "object")
-
-
-@register(
-    "kg_extract_rules",
-    r"""WITH s AS (
-      SELECT p_partkey AS source_id, replace(p_brand, ' ', '') || ' uses ' || p_type || '.' AS s, 1 AS r FROM part
-      UNION ALL SELECT p_partkey, replace(p_brand, ' ', '') || ' might works on ' || p_type || '.', 2 FROM part
-      UNION ALL SELECT p_partkey, replace(p_brand, ' ', '') || ' depends on ' || p_name || '.', 3 FROM part)
-    SELECT source_id, regexp_extract(s, '^(\S+)', 1) AS subject, CASE r WHEN 1 THEN 'uses' ELSE 'depends_on' END AS predicate,
-           regexp_extract(s, '(?:uses|depends on) ([^.?]+)[.]$', 1) AS object, 'asserted' AS modality FROM s WHERE r <> 2""",
-)
-def kg_extract_rules(spark, root):
-    brand = F.replace("p_brand", F.lit(" "), F.lit(""))
-    text = F.concat(brand, F.lit(" uses "), "p_type", F.lit(". "), brand, F.lit(" might works on "), "p_type", F.lit(". "), brand, F.lit(" depends on "), "p_name", F.lit(". Does "), brand, F.lit(" use it?"))
-    return K.extract(table(spark, root, "part").select(F.col("p_partkey").alias("source_id"), text.alias("document")))

@@ -42,6 +42,7 @@ def _load() -> None:
         facts_queries,
         memory_queries,
         probe_queries,
+        proposal_queries,
         retrieval_queries,
         sync_queries,
         text_queries,
