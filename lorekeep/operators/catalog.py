@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,15 +71,21 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z0-9_]{2,})"), 1), F.lower)
 
 
-def cards(records: DataFrame, words: int = 4) -> DataFrame:
-    """For each (domain, topic): its most frequent tokens by (count, token), joined."""
-    counted = records.select("domain", "topic", F.explode(tokens(F.col("document"))).alias("token")).groupBy("domain", "topic", "token").agg(F.count(F.lit(1)).alias("n"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "token"))), 1, words)
-    first = counted.withColumn("rank", F.row_number().over(_by_count())).where(F.col("rank") <= words)
-    return first.groupBy("domain", "topic").agg(F.array_join(F.transform(best, lambda x: x["token"]), " ").alias("top_tokens"))
+#: Capitalised words that cards take for names of things.
+ENTITY = r"(?U)\b([A-Z][A-Za-z0-9_-]{2,})\b"
 
 
-def _by_count():
-    from pyspark.sql import Window
+def cards(records: DataFrame, words: int = 4, by: tuple[str, ...] = ("domain", "topic")) -> DataFrame:
+    """For each group: its most frequent tokens by (count, token), joined."""
+    return _most(records, tokens(F.col("document")), words, by, F.col("token"), "top_tokens", " ")
 
-    return Window.partitionBy("domain", "topic").orderBy(F.desc("n"), "token")
+
+def card_entities(records: DataFrame, names: int = 5, by: tuple[str, ...] = ("domain", "topic")) -> DataFrame:
+    """For each group: its most frequent capitalised words by (count, word in lower case, word), joined."""
+    return _most(records, F.regexp_extract_all("document", F.lit(ENTITY), 1), names, by, F.lower("token"), "top_entities", ",")
+
+
+def _most(records: DataFrame, words: Column, most: int, by: tuple[str, ...], tie: Column, name: str, mark: str) -> DataFrame:
+    counted = records.select(*by, F.explode(words).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), tie, "token"))).where(F.col("rank") <= most)
+    return first.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"]), mark).alias(name))

@@ -6,6 +6,8 @@ version of a table, to be written beside the old one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return rows.orderBy("id").offset(offset).limit(limit)
 
 
+def merged_vector(*vectors: DataFrame) -> DataFrame:
+    """What is known where any of the vectors knows it; no node's number falls."""
+    return version_vector(reduce(DataFrame.unionByName, (v.select("node_id", "seq") for v in vectors)))
+
+
+def tombstones(targets: DataFrame, by: str, reason: str, now: str, grace_days: int = 90) -> DataFrame:
+    """A tombstone for each distinct (id); its grace lasts so many days from the day ``now``."""
+    until = F.date_add(F.lit(now).cast("date"), grace_days).cast("string")
+    marked = targets.select(F.concat(F.lit("tombstone:"), "id").alias("id"), F.col("id").alias("target")).distinct()
+    return marked.select("id", "target", F.lit(by).alias("deleted_by"), F.lit(reason).alias("reason"), until.alias("grace_until"), F.lit(now).alias("created_at"))
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """One row for each id: the latest, ties by node and sequence."""
     best = F.max_by(F.struct(*rows.columns), F.struct("updated_at", "node_id", "seq"))

@@ -22,22 +22,10 @@ def exchanges(turns: DataFrame) -> DataFrame:
     return numbered.groupBy("conv_id", "exchange").agg(F.count(F.lit(1)).alias("turns"), joined.alias("content")).where("exchange > 0")
 
 
-def rejection_reason(text: Column) -> Column:
-    """Why a file looks generated or minified; null if it doesn't. The first reason in order counts."""
-    lines = F.split(text, "\n")
-    longest = F.array_max(F.transform(lines, F.length))
-    blanks = F.length(text) - F.length(F.regexp_replace(text, r"[ \t\r\n\f\x0B]", ""))
-    average = F.length(text) / F.size(lines)
-    return (
-        F.when(longest > 500, "long_line")
-        .when((F.length(text) > 0) & (blanks / F.greatest(F.length(text), F.lit(1)) < 0.05), "few_blanks")
-        .when(average > 200, "long_average")
-    )
-
-
-def keyword_topic(text: Column, topics: dict[str, list[str]], head: int = 3000) -> Column:
-    """The topic with most of its keywords in the first characters; ties go to the first named, no hit to 'general'."""
-    low = F.lower(F.substring(text, 1, head))
+def keyword_topic(text: Column, topics: dict[str, list[str]], head: int | None = 3000) -> Column:
+    """The topic with most of its keywords in the first characters, or in all of the text; ties go to the first named, no
+    hit to 'general'."""
+    low = F.lower(text if head is None else F.substring(text, 1, head))
     count = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
     scored = [F.struct(count(words).alias("n"), F.lit(-k).alias("o"), F.lit(name).alias("topic")) for k, (name, words) in enumerate(topics.items())]
     best = F.array_max(F.array(*scored))

@@ -10,7 +10,15 @@ from lorekeep.functions import probes as P
 from lorekeep.plans.registry import register
 
 
-@register("file_rejection")
+@register(
+    "file_rejection",
+    f"""WITH {V.RECORDS_SQL}, l AS (SELECT id, document, length(document) AS n, regexp_split_to_array(regexp_replace(document, '\\r?\\n\\z', ''), '\\r?\\n') AS lines FROM records),
+    m AS (SELECT id, n, len(lines) AS lines, list_max(list_transform(lines, lambda x: length(x))) AS longest, list_sum(list_transform(lines, lambda x: length(x))) AS held, array_to_string(lines[1:3], chr(10)) AS head,
+      CASE WHEN n > 2000 THEN left(document, 1000) || right(document, 1000) ELSE document END AS ends,
+      n - length(regexp_replace(document, '[\\t-\\r \\x{{85}}\\p{{Z}}]', '', 'g')) AS blanks, n - length(regexp_replace(document, '[\\p{{L}}\\p{{N}}]', '', 'g')) AS alnum FROM l)
+    SELECT id, CASE WHEN longest > 500 THEN 'long_line' WHEN regexp_matches(head, '{P.GENERATED_HEADER}') THEN 'generated_header' WHEN regexp_matches(head, '{P.LICENSE_BANNER}') THEN 'license_banner'
+      WHEN regexp_matches(ends, '{P.BUNDLED}') THEN 'bundled' WHEN n > 0 AND blanks < 0.05 * n THEN 'few_blanks' WHEN held > 200 * lines THEN 'long_average' WHEN n - blanks - alnum > 1.5 * alnum THEN 'many_symbols' END AS reason FROM m""",
+)
 def file_rejection(spark, root):
     return V.records(spark, root).select("id", P.file_rejection(F.col("document"), F.col("source_file")).alias("reason"))
 

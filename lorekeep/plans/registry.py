@@ -39,8 +39,11 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     from lorekeep.plans import (  # noqa: F401  each module registers its queries
         catalog_queries,
+        diary_queries,
         facts_queries,
+        measure_queries,
         memory_queries,
+        name_queries,
         probe_queries,
         proposal_queries,
         retrieval_queries,

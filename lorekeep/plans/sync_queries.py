@@ -107,9 +107,9 @@ def gc_pending(spark, root):
     return S.pending(_tombstones(spark, root), NOW).select("target")
 
 
-@register("gc_collect", f"{WT} SELECT id FROM records WHERE id NOT IN (SELECT target FROM tombs WHERE grace_until <= '{NOW}' AND target < 'doc_00000400')")
+@register("gc_collect", f"{WT} SELECT id FROM records WHERE id NOT IN (SELECT target FROM tombs WHERE grace_until <= '{NOW}' AND target IN (SELECT id FROM records WHERE contributor LIKE '%_1'))")
 def gc_collect(spark, root):
-    requested = V.records(spark, root).where("id < 'doc_00000400'").select("id")
+    requested = V.records(spark, root).where("contributor LIKE '%_1'").select("id")
     return S.collect_garbage(V.records(spark, root), _tombstones(spark, root), requested, NOW).select("id")
 
 

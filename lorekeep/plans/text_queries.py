@@ -27,27 +27,17 @@ def exchange_chunks(spark, root):
     return X.exchanges(table(spark, root, "conversations"))
 
 
-@register(
-    "file_reject_reason",
-    f"""{W}, m AS (SELECT id, length(document) AS n, list_max(list_transform(string_split(document, chr(10)), lambda x: length(x))) AS longest,
-      len(string_split(document, chr(10))) AS lines, length(document) - length(regexp_replace(document, '[ \\t\\r\\n\\f\\x0B]', '', 'g')) AS blanks FROM records)
-    SELECT id, CASE WHEN longest > 500 THEN 'long_line' WHEN n > 0 AND blanks / n < 0.05 THEN 'few_blanks' WHEN n / lines > 200 THEN 'long_average' END AS reason FROM m""",
-)
-def file_reject_reason(spark, root):
-    return V.records(spark, root).select("id", X.rejection_reason(F.col("document")).alias("reason"))
-
-
 def _topic_sql() -> str:
     counts = [" + ".join(f"CAST(contains(d, '{w}') AS INTEGER)" for w in words) for words in TOPICS.values()]
     scored = ", ".join(f"({c}) AS n{k}" for k, c in enumerate(counts))
     cases = " ".join(f"WHEN n{k} = m THEN '{name}'" for k, name in enumerate(TOPICS))
-    return f"""{W}, a AS (SELECT id, lower(substr(document, 1, 3000)) AS d FROM records), b AS (SELECT id, {scored} FROM a),
+    return f"""{W}, a AS (SELECT id, lower(document) AS d FROM records), b AS (SELECT id, {scored} FROM a),
     c AS (SELECT *, greatest({", ".join(f"n{k}" for k in range(len(TOPICS)))}) AS m FROM b) SELECT id, CASE WHEN m = 0 THEN 'general' {cases} END AS topic FROM c"""
 
 
 @register("convo_topic", _topic_sql())
 def convo_topic(spark, root):
-    return V.records(spark, root).select("id", X.keyword_topic(F.col("document"), TOPICS).alias("topic"))
+    return V.records(spark, root).select("id", X.keyword_topic(F.col("document"), TOPICS, None).alias("topic"))
 
 
 @register("entity_candidates", f"{W}, w AS (SELECT unnest(regexp_extract_all(document, '[A-Z][a-z]{{2,19}}')) AS name FROM records) SELECT name, count(*) AS n FROM w WHERE name NOT IN ('The', 'And') GROUP BY 1 HAVING count(*) >= 3")
