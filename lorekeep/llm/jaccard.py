@@ -19,9 +19,11 @@ Op9's contract has 3 words and 90 percent, the defaults; the numbers below are f
    of the longest path below) stays under what the least set below needs. Subtrees that already belong to the
    walking set's component are skipped, which makes a group of near copies linear.
 4. Groups over ``block_tokens`` shingles are split into blocks. First each block is walked together with the group's
-   least class, which joins a large group of near copies at once; then groups of what keys still connect across
-   components are formed anew, and all pairs of their blocks are walked. No link is lost, and no task holds more
-   than two blocks.
+   least class, which joins a large group of near copies at once. Passages that many documents share can make such a
+   group of documents that don't link, so its sets then get keys that passages don't fill: in one order of all the
+   shingles of large groups, rare ones first, linked sets share one of the first n - ceil(percent * n / 100) + 1. Groups of
+   what these keys still connect across components are formed anew, and all pairs of their blocks are walked. No
+   link is lost, and no task holds more than two blocks.
 
 Links become spanning edges, and edges components (see ``components``). Nothing but counts reaches the driver.
 
@@ -41,7 +43,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm import runtime
@@ -347,7 +349,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     large = runtime.store(blocks.where("blocks > 1").select("doc_id", "comp"), "jaccard-large")
     if not large.isEmpty():
-        edges = edges.unionByName(_across(docs, keyed, large, labels, reps, block_tokens, size, percent))
+        edges = edges.unionByName(_across(docs, large, labels, reps, block_tokens, size, percent))
         labels = components(edges)
 
     named = labels.join(labels.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("id").alias("rep"), "component_id")
@@ -357,10 +359,34 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
-def _across(docs: DataFrame, keyed: DataFrame, large: DataFrame, labels: DataFrame, reps: DataFrame, block_tokens: int, size: int, percent: int) -> DataFrame:
+def _rare(docs: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, key): the first shingles, by (documents that have it, hash), of the sets of large groups, without those that
+    one set alone has. What a set has alone comes first, so that most sets have nothing else there and are left out."""
+    picked = docs.join(_small(large.select("doc_id"), large.count()), "doc_id", "left_semi").select("doc_id", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            found = [shingles(t.as_py(), known, size) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in found], pa.int64()), keys], names=["doc_id", "n", "keys"])
+
+    rows = picked.mapInArrow(run, "doc_id long, n long, keys array<long>")
+    # A window counts in the one shuffle that a join would need twice; it spills, and a shingle is a small part of any set.
+    times = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = rows.select("doc_id", "n", F.explode("keys").alias("key")).withColumn("times", times).where("times > 1")
+    # Sets of one doc_id and size are taken together, which can only give them more keys.
+    held = shared.groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("held"))
+    alone = F.col("n") - F.size("held")
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - alone
+    return held.where(first > 0).select("doc_id", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("k")).select("doc_id", "k.key")
+
+
+def _across(docs: DataFrame, large: DataFrame, labels: DataFrame, reps: DataFrame, block_tokens: int, size: int, percent: int) -> DataFrame:
     """Edges across the components that the first pass left inside groups of more than one block."""
     now = labels.select(F.col("id").alias("doc_id"), "label")
-    inside = keyed.join(_small(large.select("doc_id"), large.count()), "doc_id", "left_semi").join(now, "doc_id", "left")
+    inside = runtime.store(_rare(docs, large, size, percent), "jaccard-rare").join(now, "doc_id", "left")
     inside = inside.withColumn("label", F.coalesce("label", "doc_id"))
     mixed = inside.join(inside.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "key", "left_semi")
     blocks = runtime.store(_blocks(components(_candidates(mixed.select("doc_id", "key"))), reps, block_tokens), "jaccard-blocks")
