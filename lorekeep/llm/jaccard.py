@@ -333,13 +333,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError(f"no shingles of {size} words, or no links from {percent} percent")
     runtime.ship(df.sparkSession)
     docs = df.selectExpr(f"CAST(`{id_col}` AS long) AS doc_id", f"CAST(CAST(`{text_col}` AS string) AS binary) AS body")
-    found = runtime.store(sets(docs, size, percent), "jaccard-sets")
+    wide = runtime.store(sets(docs, size, percent), "jaccard-keys")
+    found = runtime.store(wide.drop("keys"), "jaccard-sets")
     classes = runtime.store(found.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     total = classes.count()
-    keyed = found.select("doc_id", "keys").join(_small(reps.select("doc_id"), total), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    keyed = wide.select("doc_id", "keys").join(_small(reps.select("doc_id"), total), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
 
     groups = components(_candidates(keyed))
+    runtime.drop(wide)
     blocks = runtime.store(_blocks(groups, reps, block_tokens), "jaccard-blocks")
     one = blocks.select("comp", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), "doc_id")
     leader = blocks.where("blocks > 1").groupBy("comp", "blocks").agg(F.min("doc_id").alias("doc_id"))

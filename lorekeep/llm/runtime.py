@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
+#: Spark's setting that deletes a query's shuffle files once the query is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -32,10 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: a lost executor loses none of it. The files go when the
-    driver ends, if nothing deletes them before."""
+    driver ends, if nothing deletes them before; the shuffle files of the write go once it is done, as nothing reads them
+    again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.parquet(path)
