@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,53 +13,63 @@ from pyspark.sql import types as T
 
 from lorekeep.functions.noise import strip
 
-#: Breaks from the best to the least, as the text before the cut has to end.
-BREAKS = (re.compile(r"(?=\n\n)"), re.compile(r"(?=\n)"), re.compile(r"(?<=[.!?])(?=\s|\Z)"), re.compile(r"(?=[ \t])"))
-WORD_START = re.compile(r"(?<=\s)(?=\S)")
+#: Kinds of breaks from the best to the least, each with how many characters behind it have to lie before the cut.
+BREAKS = ((re.compile(r"(?=\n\n)"), 2), (re.compile(r"\n"), 1), (re.compile(r"(?<=[.!?])(?=\s)"), 0), (re.compile(r"[ \t]"), 1))
+WORDS = re.compile(r"(?<=\s)\S")
 
 
-def cut(text: str, size: int = 800, overlap: int = 100, least: int = 50) -> list[str]:
-    """Chunks of at most ``size`` characters.
+class Places(list):
+    """Ascending positions."""
 
-    A chunk ends at the last break of the best kind in the second half of its window; the next begins ``overlap`` characters
-    earlier, moved on to the start of a word. Chunks under ``least`` characters are left out.
-    """
-    text, out, start = text.strip(), [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            end = next((at for at in (_last(kind, text, start + size // 2, end) for kind in BREAKS) if at is not None), end)
-        chunk = text[start:end].strip()
-        if len(chunk) >= least:
-            out.append(chunk)
-        start = _word(text, max(0, end - overlap)) if end < len(text) else end
-    return out
+    def upto(self, high: int, low: int) -> int | None:
+        """The last one from ``low`` to ``high``."""
+        k = bisect_right(self, high)
+        return self[k - 1] if k and self[k - 1] >= low else None
+
+    def since(self, low: int, default: int) -> int:
+        k = bisect_left(self, low)
+        return self[k] if k < len(self) else default
 
 
-def _last(kind: re.Pattern[str], text: str, low: int, end: int) -> int | None:
-    # A break of two line ends has to lie inside the window as a whole; a sentence may end with the window.
-    window = text[max(low - 1, 0) : end]
-    found = [m.start() for m in kind.finditer(window)]
-    at = max(low - 1, 0) + found[-1] if found else -1
-    return at if at >= low else None
+def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """The chunks' places in a text. All breaks are found in one pass for each kind, so a window only looks them up."""
+    kinds = [(Places(m.start() for m in kind.finditer(text)), behind) for kind, behind in BREAKS]
+    words, start = Places(m.start() for m in WORDS.finditer(text)), 0
+    while len(text) - start > size:
+        low, high = start + size // 2, start + size
+        # A sentence may end with the window, whatever follows.
+        ends = [high if behind == 0 and text[high - 1] in ".!?" else at.upto(high - behind, low) for at, behind in kinds]
+        stop = next((e for e in ends if e is not None), high)
+        yield start, stop
+        back = stop - overlap
+        start = back if text[back - 1].isspace() else words.since(back + 1, len(text))
+    if start < len(text):
+        yield start, len(text)
 
 
-def _word(text: str, at: int) -> int:
-    if at == 0 or text[at - 1].isspace():
-        return at
-    found = WORD_START.search(text, at + 1)
-    return found.start() if found else len(text)
+def cut(text: str, size: int = 800, overlap: int = 100, least: int = 50) -> list[str]:
+    """Chunks of at most ``size`` characters.
+
+    A chunk ends at the last break of the best kind in the second half of its window; the next begins ``overlap`` characters
+    earlier (under half of ``size``, so that chunks move on), put off to the start of a word. Chunks under ``least``
+    characters are left out.
+    """
+    if size < 2 or not 0 <= overlap < size // 2:
+        raise ValueError(f"chunks of {size} characters can't overlap by {overlap}")
+    text = text.strip()
+    chunks = (text[a:b].strip() for a, b in spans(text, size, overlap))
+    return [c for c in chunks if len(c) >= least]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
         yield series.map(lambda t: cut(t) if t is not None else None)
 
 
 def chunks(documents: DataFrame) -> DataFrame:
     """(id, chunk_index, content) of (id, document). Where a chunk ends decides where the next begins: Python walks a text."""
-    return documents.select("id", F.posexplode(_cut("document")).alias("chunk_index", "content"))
+    return documents.select("id", F.posexplode(pieces("document")).alias("chunk_index", "content"))
 
 
 def exchange_units(text: Column, size: int = 800, least: int = 30) -> Column:

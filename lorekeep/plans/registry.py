@@ -42,6 +42,7 @@ def _load() -> None:
         context_queries,
         diary_queries,
         facts_queries,
+        ingest_queries,
         measure_queries,
         memory_queries,
         name_queries,
