@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, decontaminate, jaccard, packing, pseudonyms, quality, runtime, secrets, sharding, sql, warc, wordpiece
+from lorekeep.llm import chat, decontaminate, infill, jaccard, packing, pseudonyms, quality, runtime, secrets, sharding, sql, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs).drop("text", "rejected_by")
 
 
+def op11_infill_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest_columns(infill.transform(runtime.table(spark, sf_dir, "documents")))
+
+
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizers are installed, on the driver as on executors; LOREKEEP_TOKENIZERS overrides it."""
     folder = os.environ.get("LOREKEEP_TOKENIZERS")
@@ -95,6 +99,7 @@ QUERIES: tuple[Query, ...] = (
     op8_concat_and_cut,
     op9_prefix_tree_join,
     op10_quality_cascade,
+    op11_infill_buffers,
 )
 
 
@@ -103,4 +108,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": sql.OP1, "op4_typed_parts": sql.OP4, "op10_quality_cascade": sql.OP10}
+    return {"op1_merkle_fixity": sql.OP1, "op4_typed_parts": sql.OP4, "op10_quality_cascade": sql.OP10, "op11_infill_buffers": sql.OP11}
