@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, decontaminate, infill, jaccard, packing, pseudonyms, quality, runtime, secrets, sharding, sql, warc, wordpiece
+from lorekeep.llm import chat, decontaminate, infill, jaccard, packing, pieces, pseudonyms, quality, runtime, secrets, sharding, sql, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,11 @@ def op11_infill_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_columns(infill.transform(runtime.table(spark, sf_dir, "documents")))
 
 
+def op13_sentencepiece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file("piece_bpe_32k.model")
+    return pieces.digest_columns(pieces.encode(runtime.table(spark, sf_dir, "documents"), path), path)
+
+
 def tokenizer_file(name: str) -> str:
     """Where the public tokenizers are installed, on the driver as on executors; LOREKEEP_TOKENIZERS overrides it."""
     folder = os.environ.get("LOREKEEP_TOKENIZERS")
@@ -100,6 +105,7 @@ QUERIES: tuple[Query, ...] = (
     op9_prefix_tree_join,
     op10_quality_cascade,
     op11_infill_buffers,
+    op13_sentencepiece_backtracking,
 )
 
 
