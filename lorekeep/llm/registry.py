@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import chat, decontaminate, infill, jaccard, packing, pieces, pseudonyms, quality, runtime, secrets, sharding, sql, warc, wordpiece
+from lorekeep.llm import chat, decontaminate, infill, jaccard, louds, packing, pieces, pseudonyms, quality, runtime, secrets, sharding, sql, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,10 @@ def op11_infill_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_columns(infill.transform(runtime.table(spark, sf_dir, "documents")))
 
 
+def op12_louds_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return louds.prefix_trie(runtime.table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("piece_bpe_32k.model")
     return pieces.digest_columns(pieces.encode(runtime.table(spark, sf_dir, "documents"), path), path)
@@ -105,6 +109,7 @@ QUERIES: tuple[Query, ...] = (
     op9_prefix_tree_join,
     op10_quality_cascade,
     op11_infill_buffers,
+    op12_louds_prefix_trie,
     op13_sentencepiece_backtracking,
 )
 
@@ -114,4 +119,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_merkle_fixity": sql.OP1, "op4_typed_parts": sql.OP4, "op10_quality_cascade": sql.OP10, "op11_infill_buffers": sql.OP11}
+    return {"op1_merkle_fixity": sql.OP1, "op4_typed_parts": sql.OP4, "op10_quality_cascade": sql.OP10, "op11_infill_buffers": sql.OP11, "op12_louds_prefix_trie": sql.OP12}

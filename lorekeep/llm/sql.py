@@ -106,3 +106,44 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
        sha256(t) AS restored_sha256
 FROM f
 """
+
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+  -- CRC-32 of the decimal id: each byte is xored in (steps from 0 on), then eight bits are shifted out (steps of -1)
+  SELECT c, list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: [ascii(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+  FROM (SELECT DISTINCT conv_id AS c FROM t)
+), h AS (
+  SELECT c, c - c % 5 AS base,
+         xor(list_reduce(steps, lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS h
+  FROM bits
+), seq AS (
+  SELECT c, pos, r, x FROM h JOIN t ON t.conv_id = h.base AND pos <= h
+  UNION ALL SELECT c, pos, r, x FROM h JOIN t ON t.conv_id = h.c AND pos > h
+), n AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, strlen(x) AS bytes, sha256(length(r) || ':' || r || x) AS label FROM seq
+), path AS (
+  SELECT c, d, bytes, sha256(string_agg(label, '') OVER (PARTITION BY c ORDER BY d)) AS key FROM n
+  UNION ALL SELECT c, 0, 0, 'root' FROM h
+), node AS (
+  SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM path GROUP BY key, d
+), ends AS (
+  SELECT key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e
+  FROM path JOIN (SELECT c, max(d) AS d FROM path GROUP BY c) USING (c, d) GROUP BY key
+), edge AS (
+  SELECT node.key, p.key AS parent FROM node JOIN path p ON p.c = node.conv_id AND p.d = node.d - 1
+), child AS (
+  SELECT parent AS key, count(*) AS n_children FROM edge GROUP BY parent
+), sub AS (
+  SELECT p.key, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * node.bytes) AS saved
+  FROM node JOIN path p ON p.c = node.conv_id AND p.d <= node.d LEFT JOIN child ON child.key = node.key GROUP BY p.key
+)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(node.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       coalesce(e, sha256('')) AS ends_sha256
+FROM node LEFT JOIN edge ON edge.key = node.key LEFT JOIN node up ON up.key = edge.parent LEFT JOIN child ON child.key = node.key
+JOIN sub ON sub.key = node.key LEFT JOIN ends ON ends.key = node.key
+"""
