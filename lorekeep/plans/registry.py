@@ -40,6 +40,7 @@ def _load() -> None:
     from lorekeep.plans import (  # noqa: F401  each module registers its queries
         catalog_queries,
         context_queries,
+        dedup_queries,
         diary_queries,
         facts_queries,
         ingest_queries,
