@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.engine.shared import store
 from lorekeep.functions.names import room_of
 from lorekeep.functions.noise import strip, strip_noise
 from lorekeep.functions.probes import file_rejection
@@ -18,7 +19,8 @@ LEAST = 50
 
 
 def record_id(domain: Column, topic: Column, source: Column, index: Column) -> Column:
-    digest = F.sha2(F.concat(source, index.cast("string")), 256)
+    """The path and the number are parted by a NUL, which no path holds: file ``a1``, chunk 1 and file ``a``, chunk 11 differ."""
+    digest = F.sha2(F.concat_ws("\u0000", source, index.cast("string")), 256)
     return F.concat(F.lit("drawer_"), domain, F.lit("_"), topic, F.lit("_"), F.substring(digest, 1, 24))
 
 
@@ -56,7 +58,7 @@ def ingest_project(spark: SparkSession, root: str, table: VersionedTable, domain
     if known:
         listing = files.unread(listing, table.read().where(F.col("domain") == domain).select("source_file", "modified").distinct())
     texts = listing.select("path", "modified", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    batch = project_records(texts, domain, rooms, agent)
+    batch = store(project_records(texts, domain, rooms, agent), "ingest-batch")
     if not known:
         return table.write(batch, 0, "ingest")
     return None if batch.isEmpty() else table.replace_sources(batch)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.engine import views as V
+from lorekeep.engine.shared import new_folder
+from lorekeep.operators import exchange
 from lorekeep.operators import sync as S
 from lorekeep.plans.registry import register
+from lorekeep.sources.versions import VersionedTable
 
 _STAMPED = f"""{V.CHANGES_SQL}, stamped AS (
   SELECT event_id AS id, node_id, row_number() OVER (PARTITION BY node_id ORDER BY event_id) AS seq, updated_at, record_id, value FROM changes)"""
@@ -116,3 +119,51 @@ def gc_collect(spark, root):
 @register("content_hash_ids", f"WITH {V.RECORDS_SQL} SELECT id, 'record_' || domain || '_' || topic || '_' || left(sha256(domain || chr(0) || topic || chr(0) || document), 24) AS content_id FROM records")
 def content_hash_ids(spark, root):
     return V.records(spark, root).select("id", S.content_id(F.col("domain"), F.col("topic"), F.col("document")).alias("content_id"))
+
+
+# Two replicas with the events up to 300 in common; later ones were written at the first for clicks and views, else at the second.
+_MET = """
+  placed AS (SELECT record_id AS id, node_id, seq, updated_at, value, id <= 300 OR node_id IN ('click', 'view') AS in_a, id <= 300 OR node_id NOT IN ('click', 'view') AS in_b FROM stamped),
+  a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, node_id DESC, seq DESC) AS k FROM placed WHERE in_a) WHERE k = 1),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, node_id DESC, seq DESC) AS k FROM placed WHERE in_b) WHERE k = 1)"""
+
+
+def _replicas(spark, root):
+    rows = _stamped(spark, root)
+    here = {"a": F.col("node_id").isin("click", "view"), "b": ~F.col("node_id").isin("click", "view")}
+    tables = []
+    for name, own in here.items():
+        placed = rows.where((F.col("id") <= 300) | own).select(F.col("record_id").alias("id"), "node_id", "seq", "updated_at", "value")
+        tables.append(VersionedTable(spark, new_folder(spark, f"replica-{name}")))
+        tables[-1].write(S.latest(placed), 0)
+    return tables
+
+
+@register(
+    "sync_converged",
+    f"""{W}, {_MET}, best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, node_id DESC, seq DESC) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+    SELECT replica, id, node_id, seq, updated_at, value FROM best, (VALUES ('a'), ('b')) AS r(replica) WHERE n = 1""",
+)
+def sync_converged(spark, root):
+    """Both replicas after one session."""
+    a, b = _replicas(spark, root)
+    exchange.synchronise(a, b)
+    return a.read().withColumn("replica", F.lit("a")).unionByName(b.read().withColumn("replica", F.lit("b")))
+
+
+_VECTORS = """
+  va AS (SELECT node_id, max(seq) AS seq FROM a GROUP BY 1), vb AS (SELECT node_id, max(seq) AS seq FROM b GROUP BY 1),
+  push AS (SELECT a.* FROM a LEFT JOIN vb USING (node_id) WHERE a.seq > coalesce(vb.seq, 0)),
+  pushed AS (SELECT count(*) AS sent, count(*) FILTER (b.id IS NULL OR (push.updated_at, push.node_id, push.seq) > (b.updated_at, b.node_id, b.seq)) AS accepted FROM push LEFT JOIN b USING (id))"""
+
+
+@register("sync_pushed", f"{W}, {_MET}, {_VECTORS} SELECT sent, accepted, sent - accepted AS rejected FROM pushed")
+def sync_pushed(spark, root):
+    """What the push of a session moved."""
+    pushed, _ = exchange.synchronise(*_replicas(spark, root))
+    return spark.createDataFrame([(pushed.sent, pushed.accepted, pushed.rejected)], "sent long, accepted long, rejected long")
+
+
+@register("changes_count", f"{W}, {_UNSEEN} SELECT count(*) AS n FROM unseen")
+def changes_count(spark, root):
+    return S.unseen(_stamped(spark, root), _remote_vector(spark)).agg(F.count(F.lit(1)).alias("n"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lorekeep.engine.shared import store
 from lorekeep.operators import sync
 from lorekeep.sources.versions import VersionedTable
 
@@ -70,8 +71,8 @@ def merge_into(changes: DataFrame, table: VersionedTable, checkpoint: str) -> Da
         if not table.versions():
             table.write(best, 0, "merge")
             return
-        base = table.versions()[-1]
-        table.write(sync.merge(table.read(base), best).drop("outcome"), base, "merge")
+        best = store(best, "merge-batch")
+        table.change(lambda base: sync.merge(base, best).drop("outcome"), best, "merge")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

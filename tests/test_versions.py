@@ -47,3 +47,33 @@ def test_upsert_changed(spark, tmp_path):
     t.write(make(("1", "a", "h1", 0), ("2", "b", "h2", 0)))
     t.upsert_changed(make(("1", "a", "h1", 9), ("2", "b", "h3", 9), ("3", "c", None, 9)))
     assert sorted((r["id"], r["n"]) for r in t.read().collect()) == [("1", 0), ("2", 9), ("3", 9)]
+
+
+def size(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_writes_follow_the_change(spark, tmp_path):
+    """One row changed writes its bucket, an added row itself; other folders are named by both versions."""
+    t = VersionedTable(spark, str(tmp_path / "t"), buckets=50)
+    t.write(spark.range(20_000).selectExpr("cast(id AS string) AS id", "sha2(cast(id AS string), 256) AS document", "'f' AS source_file", "'d' AS domain"), 0)
+    before = size(tmp_path)
+    t.upsert(rows(spark, ("77", "new", "f", "d")), "document")
+    t.delete(spark.createDataFrame([(78,)], "id long"))
+    t.update(spark.createDataFrame([("79", "patched")], "id string, document string"))
+    changed = size(tmp_path / "t") - before
+    assert changed < 3 * before / 25
+    t.add_if_absent(rows(spark, ("77", "no", "f", "d"), ("more", "yes", "f", "d")))
+    assert size(tmp_path / "t") - before - changed < 5_000
+    found = dict(content(t))
+    assert len(found) == 20_000 and found["77"] == "new" and found["79"] == "patched" and found["more"] == "yes" and "78" not in found
+    assert t.compact(folders=2) == 6 and t.compact(folders=2) is None and dict(content(t)) == found
+    assert t.vacuum(keep=1) == 5 and dict(content(t)) == found and size(tmp_path / "t") < 1.1 * before
+
+
+def test_state(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    t.write(rows(spark, ("1", "a", "f", "d")), state={"vector": {"n": 3}})
+    t.upsert(rows(spark, ("2", "a", "f", "d")), "document")
+    t.set_state({"vector": {"n": 4}})
+    assert t.state() == {"vector": {"n": 4}} and t.state(2) == {"vector": {"n": 3}} and len(content(t)) == 2
