@@ -148,14 +148,13 @@ CODE = (
     r"|(?:import|from|def|class|function|const|let|var|return)\s|[A-Z_]{2,}=|\||-{2,}|[{}\[\]]\z|(?:if|for|while|try|except|elif|else:)\b|\w+\.\w+\(|\w+ = \w+\.\w+)"
 )
 FENCED = r"(?md)^[^\S\n]*```[^\n]*(?:\n|\z)(?:[\s\S]*?^[^\S\n]*```[^\n]*(?:\n|\z)|[\s\S]*)"
-CUT = "￿"
 #: Lines in a group where a text has no paragraphs.
 GROUP = 25
 
 
 def segments(text: Column, least_turns: int = 3) -> Column:
     """Speakers' turns, if there are ``least_turns``; else paragraphs, or groups of lines of a long single one."""
-    turns = F.split(F.regexp_replace(text, rf"\n(?={TURN})", CUT), CUT)
+    turns = F.split(text, rf"\n(?={TURN})")
     full = lambda parts: F.filter(F.transform(parts, strip), lambda p: p != "")
     paragraphs, lines = full(F.split(text, "\n\n")), F.split(text, "\n")
     starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / GROUP).cast("int"))

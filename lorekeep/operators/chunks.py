@@ -42,7 +42,9 @@ def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
         stop = next((e for e in ends if e is not None), high)
         yield start, stop
         back = stop - overlap
-        start = back if text[back - 1].isspace() else words.since(back + 1, len(text))
+        word = back if text[back - 1].isspace() else words.since(back + 1, len(text))
+        # A word that goes on behind the cut is taken up where the overlap begins: none of it may be lost.
+        start = word if word <= stop or text[stop:word].isspace() else back
     if start < len(text):
         yield start, len(text)
 
@@ -51,14 +53,28 @@ def cut(text: str, size: int = 800, overlap: int = 100, least: int = 50) -> list
     """Chunks of at most ``size`` characters.
 
     A chunk ends at the last break of the best kind in the second half of its window; the next begins ``overlap`` characters
-    earlier (under half of ``size``, so that chunks move on), put off to the start of a word. Chunks under ``least``
-    characters are left out.
+    earlier (under half of ``size``, so that chunks move on), put off to the start of a word, unless that would skip a part of
+    the text. A text under ``least`` characters gives none; of others every character that isn't blank is in a chunk: a chunk
+    under ``least`` begins earlier, as far as it has to and the text goes, or is left out if the one before holds all of it.
     """
     if size < 2 or not 0 <= overlap < size // 2:
         raise ValueError(f"chunks of {size} characters can't overlap by {overlap}")
     text = text.strip()
-    chunks = (text[a:b].strip() for a, b in spans(text, size, overlap))
-    return [c for c in chunks if len(c) >= least]
+    out: list[str] = []
+    if len(text) < least:
+        return out
+    done = 0
+    for a, b in spans(text, size, overlap):
+        if len(text[a:b].strip()) < least:
+            if not text[max(a, done) : b].strip():
+                continue
+            # Blanks at the end don't count, so what is missing lies before the last character that isn't blank.
+            a = max(min(a, len(text[:b].rstrip()) - least), 0)
+            while a and text[a].isspace():
+                a -= 1
+        out.append(text[a:b].strip())
+        done = b
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -80,7 +96,7 @@ def exchange_units(text: Column, size: int = 800, least: int = 30) -> Column:
     """
     lines = F.split(text, "\n")
     opens = lambda x: strip(x).startswith(">")
-    parts = F.split(F.regexp_replace(text, r"\n(?=[^\S\n]*(?:>|---))", "￿"), "￿")
+    parts = F.split(text, r"\n(?=[^\S\n]*(?:>|---))")
     units = F.transform(F.filter(parts, opens), lambda u: F.concat(strip(F.regexp_extract(u, r"\A([^\n]*)", 1)), F.regexp_replace(F.regexp_extract(u, r"\A[^\n]*((?:\n[\s\S]*)?)\z", 1), r"\n+\z", "")))
     paragraphs = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
     starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 25).cast("int"))

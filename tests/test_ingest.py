@@ -11,7 +11,9 @@ from lorekeep.sources.versions import VersionedTable
 
 def slow_cut(text, size, overlap, least):
     """Tries every place of every window."""
-    text, out, start = text.strip(), [], 0
+    text, out, start, done = text.strip(), [], 0, 0
+    if len(text) < least:
+        return out
     while start < len(text):
         high = min(start + size, len(text))
         stop = high
@@ -19,20 +21,26 @@ def slow_cut(text, size, overlap, least):
             places = range(high, start + size // 2 - 1, -1)
             tests = (lambda k: k + 2 <= high and text[k : k + 2] == "\n\n", lambda k: k < high and text[k] == "\n", lambda k: text[k - 1] in ".!?" and (k == high or text[k].isspace()), lambda k: k < high and text[k] in " \t")
             stop = next((k for t in tests for k in places if t(k)), high)
-        if len(text[start:stop].strip()) >= least:
-            out.append(text[start:stop].strip())
+        first = start
+        while first and len(text[first:stop].strip()) < least:
+            first -= 1
+        if len(text[start:stop].strip()) >= least or text[max(start, done) : stop].strip():
+            out.append(text[first:stop].strip())
+            done = stop
         if stop == len(text):
             break
         start = stop - overlap
         if not text[start - 1].isspace():
-            start = next((k for k in range(start + 1, len(text)) if text[k - 1].isspace() and not text[k].isspace()), len(text))
+            word = next((k for k in range(start + 1, len(text)) if text[k - 1].isspace() and not text[k].isspace()), len(text))
+            if word <= stop or not text[stop:word].strip():
+                start = word
     return out
 
 
 def test_cut():
     rnd = random.Random(5)
-    for _ in range(400):
-        text = "".join(rnd.choice("abc.!? \t\n\n ") for _ in range(rnd.randrange(300)))
+    for k in range(900):
+        text = "".join(rnd.choice(("abc.!? \t\n\n ", "abcdefgh ", "a漢\uffff", "a          ")[k % 4]) for _ in range(rnd.randrange(300)))
         size = rnd.randrange(4, 60)
         overlap, least = rnd.randrange(size // 2), rnd.randrange(10)
         assert cut(text, size, overlap, least) == slow_cut(text, size, overlap, least)
@@ -40,6 +48,41 @@ def test_cut():
         cut("x", 100, 50)
 
 
+def covered(text, chunks):
+    """Whether chunks found one after the other hold every character that isn't blank."""
+    at = done = 0
+    for c in chunks:
+        at = text.index(c, at)
+        if text[done:at].strip():
+            return False
+        done = max(done, at + len(c))
+    return not text[done:].strip()
+
+
+def test_nothing_is_lost():
+    """Texts without blanks, of very long words, with rare blanks, of blanks nearly all, and with short ends."""
+    rnd = random.Random(6)
+    texts = ["漢" * 3000, "x" * 3000, " ".join("w" * 900 for _ in range(5)), "a\uffffb" * 700, "word " * 170 + "end", "ab" + " " * 2000 + "c" * 60, "x" * 801]
+    for _ in range(200):
+        texts.append("".join("".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(rnd.choice((1, 5, 40, 400, 1500)))) + rnd.choice((" ", "\n\n", "   ", ". ")) for _ in range(rnd.randrange(1, 14))))
+    for text in texts:
+        text = text.strip()
+        # Characters told apart, so that a chunk is found only where it was cut.
+        text = "".join(c if c.isspace() else chr(0x10000 + k) for k, c in enumerate(text))
+        chunks = cut(text)
+        assert covered(text, chunks) if len(text) >= 50 else chunks == [], text[:40]
+        assert all(len(c) <= 800 for c in chunks)
+
+
+def test_ids_apart(spark):
+    """A digit at the end of a path and the number of a chunk don't run together."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a1", 1), ("a", 11), ("a11", None), ("a", 1)], "source_file string, chunk_index int")
+    ids = df.select(ingest.record_id(F.lit("d"), F.lit("t"), F.col("source_file"), F.col("chunk_index")).alias("id")).collect()
+    assert len({r["id"] for r in ids}) == 4
+
+
 def test_project(spark, tmp_path):
     root, body = tmp_path / "p", "The api answers requests with words.\n" * 60
     (root / "docs").mkdir(parents=True)

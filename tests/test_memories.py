@@ -94,3 +94,20 @@ def test_exchange_units(spark):
     got, plain, none = column(spark, [talk, "x" * 40 + "\n\n" + "y" * 10, None], K.exchange_units)
     assert got[0] == ("> " + "question " * 6).strip() + "\n  answer\n\nmore"
     assert "".join(got[1:]) == ("> " + "second " * 200).strip() and plain == ["x" * 40] and not none
+
+
+def test_characters_that_mark_nothing(spark):
+    """The last code points of the plane are characters like others to noise, exchanges and segments."""
+    from pyspark.sql import functions as F
+
+    from lorekeep.functions.memories import segments
+    from lorekeep.functions.noise import strip_noise
+    from lorekeep.operators.chunks import exchange_units
+
+    odd = "a ￿ b ￾0 ￾1 ￾"
+    texts = [odd, f"<command-name>x</command-name>\n{odd}", f"Daily auto-save checkpoint.\n{odd}", f"SomeApp auto-save checkpoint.\n{odd}", f"> one {odd}\nanswer {odd}\n> two\nb\n> three\nc"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(strip_noise(F.col("t"))).collect()]
+    assert got == [odd, odd, texts[2], odd, texts[4]]
+    assert df.select(exchange_units(F.col("t"), least=0)).collect()[4][0] == [f"> one {odd}\nanswer {odd}", "> two\nb", "> three\nc"]
+    assert df.select(segments(F.col("t"))).collect()[4][0] == [f"> one {odd}\nanswer {odd}", "> two\nb", "> three\nc"]
