@@ -13,9 +13,11 @@ _LOOP = rf"""{V.RECORDS_SQL}, counted AS (
   SELECT id, source_file, list_distinct(list_transform(regexp_extract_all(coalesce(document, ''), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda x: lower(x))) AS words,
          row_number() OVER (PARTITION BY source_file ORDER BY chars DESC, id) AS k
   FROM counted WHERE n >= 5 AND chars >= 20
+), w AS (
+  SELECT id, source_file, k, len(words) AS n, unnest(words) AS word FROM long
 ), met AS (
-  SELECT b.id, a.k, len(list_intersect(a.words, b.words)) AS c, len(a.words) + len(b.words) AS s
-  FROM long a JOIN long b ON a.source_file = b.source_file AND a.k < b.k AND len(a.words) > 0 AND len(b.words) > 0
+  SELECT b.id, a.k, count(*) AS c, any_value(a.n + b.n) AS s
+  FROM w a JOIN w b ON a.source_file = b.source_file AND a.word = b.word AND a.k < b.k GROUP BY b.id, a.k
 ), near AS (
   SELECT id, list(k) AS before FROM met WHERE round((s - 2 * c) / (s - c), 6) < 0.15 GROUP BY id
 ), loop AS (

@@ -50,6 +50,7 @@ def _load() -> None:
         probe_queries,
         proposal_queries,
         retrieval_queries,
+        spelling_queries,
         sync_queries,
         text_queries,
     )
