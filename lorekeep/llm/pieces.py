@@ -13,7 +13,7 @@ The longest pieces at all places come from one pass of an Aho-Corasick automaton
 text. Characters that no piece holds stand alone, as bytes if the model has byte pieces.
 
 Texts are first cut where no piece can reach across (``Model.unit``), which changes no result; the ids of short units are
-remembered up to a fixed number, after which the memory is cleared.
+remembered up to a fixed number; then those that were not asked for of late are forgotten.
 
 Needs a model of the merge type whose pieces score no better than the pieces they are made of, without pieces defined by
 users and with texts left as they are but for blanks (``Model`` checks what the library tells). Surrogates can't be in Spark's
@@ -42,10 +42,11 @@ DECODED = "doc_id long, ids array<int>, text string"
 #: How the format writes a blank, and what its library writes for an unknown piece and for a byte that isn't UTF-8.
 SPACE, UNKNOWN, BROKEN = "▁", " ⁇ ", "�"
 #: Units of text that a worker remembers, and the characters of the longest of them; pairs of pieces whose fit it remembers.
-REMEMBERED, LONG, PAIRS = 400_000, 48, 4_000_000
+REMEMBERED, LONG, PAIRS = 400_000, 48, 500_000
 #: Characters of texts decoded or encoded before a batch of results leaves a task.
 BATCH = 4 << 20
 _MODELS: dict[str, Model] = {}
+_KNOWN: dict[str, Remembered] = {}
 
 
 class Model:
@@ -66,6 +67,7 @@ class Model:
         self.rank = {p: order[s] for p, s in scores.items() if len(p) > 1}
         self.split = {p: found for p in self.rank if (found := self._last_merge(p)) is not None}
         self._check(source)
+        self.single = {p for p in self.ids if len(p) == 1}
         own = {p for p in self.ids if len(p) == 1 or p in self.split}
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in own), None) for p in own}
         self.automaton = ahocorasick.Automaton()
@@ -139,14 +141,6 @@ class Model:
             else:
                 return True
 
-    def fit(self, left: str, right: str) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            found = self.fits[left, right] = self.compatible(left, right)
-        return found
-
     def longest(self, text: str) -> list[str | None]:
         """The longest piece at each place of a text."""
         last, found = len(text) - 1, [None] * len(text)
@@ -157,32 +151,41 @@ class Model:
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a run of known characters."""
-        n, longest, shorter = len(text), self.longest(text), self.shorter
+        n, longest, shorter, fits = len(text), self.longest(text), self.shorter, self.fits
         failed = bytearray((n >> 3) + 1)
         out: list[str] = []
-        at, piece = 0, longest[0]
+        at, piece, before = 0, longest[0], ""
         while True:
             while piece is not None:
                 to = at + len(piece)
-                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.fit(out[-1], piece)):
-                    break
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    fit = fits.get((before, piece))
+                    if fit is None:
+                        if len(fits) >= PAIRS:
+                            fits.clear()
+                        fit = fits[before, piece] = not before or self.compatible(before, piece)
+                    if fit:
+                        break
                 piece = shorter[piece]
             if piece is None:
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError(f"no sequence of pieces for {text[:80]!r}")
                 piece = out.pop()
+                before = out[-1] if out else ""
                 at -= len(piece)
                 piece = shorter[piece]
                 continue
             out.append(piece)
-            at = to
-            if at == n:
+            if to == n:
                 return out
-            piece = longest[at]
+            at, before, piece = to, piece, longest[to]
 
     def unit_ids(self, unit: str) -> list[int]:
-        out, ids = [], self.ids
+        ids = self.ids
+        if self.single.issuperset(unit):
+            return [ids[p] for p in self.pieces(unit)] if unit else []
+        out: list[int] = []
         start = 0
         for k, char in enumerate(unit):
             if char not in ids:
@@ -229,16 +232,20 @@ def readable(body: bytes) -> str:
 
 
 class Remembered(dict):
-    """unit -> ids, computed when first asked for; long units are not kept."""
+    """unit -> ids, computed when first asked for; long units are not kept. Once half of REMEMBERED are held they become the old
+    ones, from which those asked for again come back; the old ones before them go."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.old = model, {}
 
-    def __missing__(self, unit: str) -> list[int]:
-        found = self.model.unit_ids(unit)
+    def __missing__(self, unit: str) -> tuple[int, ...]:
+        found = self.old.get(unit)
+        if found is None:
+            found = tuple(self.model.unit_ids(unit))
         if len(unit) <= LONG:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED // 2:
+                self.old = dict(self)
                 self.clear()
             self[unit] = found
         return found
@@ -250,6 +257,13 @@ def model(path: str) -> Model:
     return _MODELS[path]
 
 
+def remembered(path: str) -> Remembered:
+    """A worker's memory, which outlives its tasks."""
+    if path not in _KNOWN:
+        _KNOWN[path] = Remembered(model(path))
+    return _KNOWN[path]
+
+
 def encode_text(known: Remembered, text: str) -> np.ndarray:
     """The ids of a text and the end id."""
     if not text:
@@ -268,7 +282,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     runtime.ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(model(path))
+        known = remembered(path)
         for batch in batches:
             docs, found, size = [], [], 0
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
