@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,11 +24,20 @@ PRONOUN_WEIGHT = 2
 def signals(text: Column, name: str) -> dict[str, Column]:
     """The counts of each kind of signal for a name in a text; a null text is empty. Pronouns count once for each line that
     holds the name, if one stands within two lines of it."""
+    return _signals(text, lambda p: F.lit(f"(?dmi){p.replace('@', re.escape(name))}"), F.lit(name.lower()))
+
+
+def signals_of(text: Column, name: Column) -> dict[str, Column]:
+    """The same for a name that each row brings, of letters and blanks only."""
+    return _signals(text, lambda p: F.concat(F.lit("(?dmi)"), F.replace(F.lit(p), F.lit("@"), name)), F.lower(name))
+
+
+def _signals(text: Column, pattern: Callable[[str], Column], low: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
-    found = {kind: sum((F.regexp_count(text, F.lit(f"(?dmi){p.replace('@', re.escape(name))}")) for p in patterns), F.lit(0)) for kind, (patterns, _) in (PERSON | PROJECT).items()}
+    found = {kind: sum((F.regexp_count(text, pattern(p)) for p in patterns), F.lit(0)) for kind, (patterns, _) in (PERSON | PROJECT).items()}
     lines = F.split(F.lower(text), "\n")
     near = lambda i: F.array_join(F.slice(lines, F.greatest(i - 2, F.lit(1)), F.least(i + 2, F.size(lines)) - F.greatest(i - 2, F.lit(1)) + 1), " ")
-    places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.get(lines, i - 1).contains(name.lower()) & near(i).rlike(PRONOUNS))
+    places = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.contains(F.get(lines, i - 1), low) & near(i).rlike(PRONOUNS))
     return found | {"pronoun": F.size(places)}
 
 

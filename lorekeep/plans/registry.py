@@ -49,6 +49,7 @@ def _load() -> None:
         name_queries,
         probe_queries,
         proposal_queries,
+        registry_queries,
         retrieval_queries,
         spelling_queries,
         sync_queries,
