@@ -14,14 +14,21 @@ from lorekeep.plans.registry import register
 LEAST = 20
 
 
+#: A letter that no text holds, for the key: patterns are then the same for all keys, and compiled once.
+SIGN = "ꙮ"
+
+
 def _plain(pattern: str) -> str:
     """A pattern whose ends of words are what is no letter, digit or underscore: DuckDB's \\b knows ASCII only."""
     out = re.sub(r"^\\b", r"(?:^|[^\\p{L}\\p{N}_])", pattern)
-    return "'" + re.sub(r"\\b$", r"(?:$|[^\\p{L}\\p{N}_])", out).replace("'", "''") + "'"
+    out = re.sub(r"\\b$", r"(?:$|[^\\p{L}\\p{N}_])", out).replace("@", SIGN)
+    return "'" + out.replace("'", "''") + "'"
 
 
 def _votes(patterns: tuple[str, ...]) -> str:
-    return f"CAST(list_sum(list_transform([{', '.join(map(_plain, patterns))}], lambda p: CAST(regexp_matches(low, replace(p, '@', key)) AS INTEGER))) AS INTEGER)"
+    # A key that is part of a pattern's own words is the sign there too, as it is in the text.
+    one = lambda p: f"CAST(CASE WHEN contains({p}, key) THEN regexp_matches(marked, replace({p}, key, '{SIGN}')) ELSE regexp_matches(marked, {p}) END AS INTEGER)"
+    return " + ".join(one(_plain(p)) for p in patterns)
 
 
 _VOTED = rf"""w AS (
@@ -38,11 +45,16 @@ _VOTED = rf"""w AS (
 ), keys AS (
   SELECT key, bool_or(lower(name) = key AND key IN (SELECT word FROM lows)) AS ambiguous FROM entries GROUP BY key
 ), said AS (
-  SELECT conv_id * 1000 + turn AS id, lower(text) AS low FROM conversations
+  SELECT conv_id * 1000 + turn AS id, lower(text) AS low, regexp_split_to_array(lower(text), '\s+') AS t FROM conversations
+), led AS (
+  -- what stands before one of the words of the last pattern, which needs no beginning of a word in front of the key
+  SELECT id, low, list_transform(list_filter(range(1, len(t)), lambda i: regexp_matches(t[i + 1], '^(?:of|in|at|for|to)(?:$|[^\p{{L}}\p{{N}}_])')), lambda i: t[i]) AS before FROM said
 ), here AS (
-  SELECT id, low, key, ambiguous FROM said JOIN keys ON contains(low, key) AND regexp_matches(low, '(?:^|[^\p{{L}}\p{{N}}_])' || key || '(?:$|[^\p{{L}}\p{{N}}_])')
+  SELECT id, low, before, key, ambiguous, replace(low, key, '{SIGN}') AS marked
+  FROM (SELECT DISTINCT id, unnest(regexp_split_to_array(low, '[^\p{{L}}\p{{N}}_]+')) AS key FROM said) JOIN keys USING (key) JOIN led USING (id)
 ), voted AS (
-  SELECT id, key, ambiguous, CASE WHEN ambiguous THEN {_votes(K.FOR)} ELSE 0 END AS persons, CASE WHEN ambiguous THEN {_votes(K.AGAINST)} ELSE 0 END AS concepts FROM here
+  SELECT id, key, ambiguous, CASE WHEN ambiguous THEN {_votes(K.FOR)} ELSE 0 END AS persons,
+         CASE WHEN ambiguous THEN {_votes(K.AGAINST[:-1])} + CAST(len(list_filter(before, lambda x: ends_with(x, key))) > 0 AS INTEGER) ELSE 0 END AS concepts FROM here
 )"""
 
 
