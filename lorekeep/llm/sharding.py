@@ -11,8 +11,9 @@ sums from both sides (each cut at the start or at the end of the prefix that hol
 prefixes in which a cut can lie; only their sums are split by a longer prefix, again and again, until the sums
 are whole groups or few enough to load. The result is exact: every other prefix lies between two cuts as a whole.
 
-Slots number a shard's rows without gaps: rows fall into cells by a hash of their id, cells are numbered by a
-running count, rows inside a cell by a window, so that neither a shard nor a group of copies is sorted in one task.
+Slots number a shard's rows without gaps: rows fall into cells by a hash of their id and their text's checksum,
+cells are numbered by a running count, rows inside a cell by a window, so that neither a shard nor a group of copies is sorted in one
+task, nor are rows without an id. Only rows that repeat both id and text share a cell.
 
 Defined results: a null text counts as empty, of size 8, in one group with empty texts; null and repeated ids are
 rows like any other; an empty table gives an empty table; fewer groups than shards leaves the last shards
@@ -154,7 +155,7 @@ def shard_rows(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col
         (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
         F.crc32(body).alias("crc"),
         F.sha2(body, 256).alias("digest"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(cells)).cast("int").alias("cell"),
+        F.pmod(F.xxhash64(F.col(id_col), F.crc32(body)), F.lit(cells)).cast("int").alias("cell"),
     )
     rows = runtime.store(rows, "shard-rows")
     groups = runtime.store(rows.groupBy("digest").agg(F.sum("size").alias("size")), "shard-groups")

@@ -2,7 +2,7 @@ import hashlib
 import random
 import zlib
 
-from lorekeep.llm import sharding
+from lorekeep.llm import registry, runtime, sharding
 
 
 def brute(sizes, shards):
@@ -81,3 +81,17 @@ def test_edges(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", 2, "z", 3)], "doc_id long, text string, size int, digest string, cell int")
     assert [r["size"] for r in sharding.shard_rows(df).collect()] == [9]
+
+
+def test_whole_table(spark, sf_dir):
+    texts = [(r[0], r[1]) for r in runtime.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
+    check(registry.op6_minimax_shards(spark, sf_dir).collect(), texts, 24)
+
+
+def test_cells_without_ids(spark):
+    """Rows without an id, or that all have one, are spread over cells by their texts."""
+    texts = [(None, f"text {k}") for k in range(4000)] + [(7, f"other {k}") for k in range(4000)]
+    slots = {}
+    for r in sharding.shard_rows(spark.createDataFrame(texts, "doc_id long, text string"), 3).collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and sum(map(len, slots.values())) == len(texts)
