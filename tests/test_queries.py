@@ -70,3 +70,13 @@ def test_dense_blocks(spark, sf_dir):
     assert n > 4 and len(retrieval._blocks(queries, 4)) == -(-n // 4) and len(retrieval._blocks(queries, n)) == 1
     rows = lambda **o: sorted(map(tuple, retrieval.dense_top_k(vectors, queries, 3, **o).collect()))
     assert rows(block=4) == rows() and len(rows(block=4)) == 3 * n
+
+
+def test_words_of_each_query(spark):
+    """Each query has its own words and weights; stop words and repeated words count once or not at all; blocks change nothing."""
+    records = spark.createDataFrame([("a", "Token and password, the token"), ("b", "token only"), ("c", None), ("d", "nothing here"), ("e", "password token rest")], "id string, document string")
+    words = spark.createDataFrame([(1, "token", 1.0), (1, "password", 0.5), (1, "token", 0.5), (1, "the", 1.0), (2, "rest", 1.0), (2, "absent", 1.0), (3, "the", 1.0), (4, "token", 0.0)], "query_id long, token string, weight double")
+    want = [(1, "a", 1.0), (1, "b", 0.666667), (1, "e", 1.0), (2, "e", 0.5)]
+    for block in (1, 10_000):
+        assert sorted(map(tuple, retrieval.sparse_for_queries(records, words, 5, block).collect())) == want
+    assert sorted(map(tuple, retrieval.sparse_for_queries(records, words, 1).collect())) == [(1, "a", 1.0), (2, "e", 0.5)]
