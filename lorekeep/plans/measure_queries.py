@@ -94,7 +94,11 @@ def evidence_recall(spark, root):
 
 @register(
     "normal_answers",
-    """SELECT p_partkey, lower('the ' || p_name || ' ' || replace(p_brand, '#', '') || ' for ' || p_type) AS answer FROM part""",
+    r"""WITH a AS (
+      SELECT p_partkey, 'The ' || p_name || ', and a (' || p_brand || ') for an ' || p_type || '!' AS answer FROM part
+    )
+    SELECT p_partkey, trim(lower(regexp_replace(trim(regexp_replace(regexp_replace(replace(answer, ',', ''), '\b(a|an|the|and)\b', ' ', 'g'), '\s+', ' ', 'g')), '[[:punct:]]', '', 'g'))) AS answer
+    FROM a""",
 )
 def normal_answers(spark, root):
     answer = F.concat(F.lit("The "), "p_name", F.lit(", and a ("), "p_brand", F.lit(") for an "), "p_type", F.lit("!"))

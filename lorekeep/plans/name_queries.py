@@ -65,13 +65,23 @@ def name_errors(spark, root):
     return table(spark, root, "part").select("p_partkey", N.name_error(F.expr(_NAME)).alias("error"))
 
 
-_SAID = "concat('Anna', conv_id % 5, ': ', replace(text, chr(10), ' '), chr(10), 'user: I am Bob', turn, ' indeed', chr(10), 'Cleo-2: hi')"
+# Whole turns with lines of speakers around them, and with names that speakers give themselves.
+_SAID = "concat('Anna', conv_id % 5, ': ', text, chr(10), 'user: I am Bob', turn, ' indeed', chr(10), 'Cleo-2: hi', chr(10), 'Anna', turn % 5, ': and call me Dora.')"
 
 
-@register("personas", f"SELECT conv_id, turn, concat('Anna', conv_id % 5, ',Cleo-2,Bob', turn) AS names FROM conversations WHERE NOT regexp_matches(text, '(?i)\\b(i am|i''m|call me)\\s')")
+@register(
+    "personas",
+    rf"""WITH s AS (
+      SELECT conv_id, turn, {_SAID} AS said FROM conversations
+    ), f AS (
+      SELECT conv_id, turn, list_concat(regexp_extract_all(said, '(?m)^([A-Z][A-Za-z0-9_-]{{1,30}}):', 1),
+                                        regexp_extract_all(said, '(?i)\b(?:i am|i''m|call me)\s+([A-Z][A-Za-z0-9_-]{{1,30}})\b', 1)) AS n FROM s
+    )
+    SELECT conv_id, turn, array_to_string(list_transform(list_filter(range(1, len(n) + 1), lambda i: list_position(n, n[i]) = i
+             AND lower(n[i]) NOT IN ('user', 'assistant', 'system', 'human')), lambda i: n[i]), ',') AS names FROM f""",
+)
 def personas(spark, root):
-    turns = table(spark, root, "conversations").where(~F.col("text").rlike(r"(?i)\b(i am|i'm|call me)\s"))
-    return turns.select("conv_id", "turn", F.array_join(N.personas(F.expr(_SAID)), ",").alias("names"))
+    return table(spark, root, "conversations").select("conv_id", "turn", F.array_join(N.personas(F.expr(_SAID)), ",").alias("names"))
 
 
 _RAW = "CASE event_id % 4 WHEN 0 THEN concat(t, 'Z') WHEN 1 THEN concat(t, '+02:00') WHEN 2 THEN t ELSE '' END"
