@@ -52,6 +52,7 @@ def _load() -> None:
         proposal_queries,
         registry_queries,
         retrieval_queries,
+        session_queries,
         spelling_queries,
         sync_queries,
         text_queries,
