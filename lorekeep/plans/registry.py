@@ -48,11 +48,13 @@ def _load() -> None:
         measure_queries,
         memory_queries,
         name_queries,
+        note_queries,
         probe_queries,
         proposal_queries,
         registry_queries,
         retrieval_queries,
         session_queries,
+        skeleton_queries,
         spelling_queries,
         sync_queries,
         text_queries,
