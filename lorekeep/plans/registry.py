@@ -39,6 +39,7 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     from lorekeep.plans import (  # noqa: F401  each module registers its queries
         batching_queries,
+        card_queries,
         catalog_queries,
         context_queries,
         dedup_queries,
