@@ -85,12 +85,16 @@ def sparse_for_queries(records: DataFrame, words: DataFrame, k: int, block: int
     """(query_id, id, score): each query's best ``k`` records by the share of the weight of its own ``words`` (query_id, token, weight) that they
     have, ties by id. Stop words count for nothing; of a word given twice the larger weight counts. A record's tokens meet those of
     the queries by a join, all queries at once, or in blocks of ``block``; weights are summed before they are ranked."""
+    return best_by_words(records.select("id", F.explode(tokens(F.col("document"))).alias("token")), words, k, block)
+
+
+def best_by_words(held: DataFrame, words: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """As ``sparse_for_queries``, over distinct rows (id, token) that say which words each id has."""
     words = words.where(~F.col("token").isin(list(STOP_WORDS)) & (F.col("weight") > 0)).groupBy("query_id", "token").agg(F.max("weight").alias("weight"))
     totals = words.groupBy("query_id").agg(F.sum("weight").alias("total"))
     weighted = words.join(totals, "query_id").select("query_id", "token", "weight", "total")
     n = max(-(-totals.count() // block), 1)
     asked = [weighted if n == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
-    held = records.select("id", F.explode(tokens(F.col("document"))).alias("token"))
     met = reduce(DataFrame.unionByName, (held.join(F.broadcast(part), "token") for part in asked))
     scored = met.groupBy("query_id", "id").agg(F.round(F.sum("weight") / F.first("total"), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -45,6 +45,7 @@ def _load() -> None:
         dedup_queries,
         diary_queries,
         facts_queries,
+        hall_queries,
         ingest_queries,
         measure_queries,
         memory_queries,
