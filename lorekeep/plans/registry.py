@@ -53,6 +53,7 @@ def _load() -> None:
         note_queries,
         probe_queries,
         proposal_queries,
+        reader_queries,
         registry_queries,
         retrieval_queries,
         session_queries,
