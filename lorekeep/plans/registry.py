@@ -56,6 +56,7 @@ def _load() -> None:
         reader_queries,
         registry_queries,
         retrieval_queries,
+        search_queries,
         session_queries,
         skeleton_queries,
         spelling_queries,
