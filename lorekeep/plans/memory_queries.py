@@ -84,7 +84,28 @@ def token_estimate(spark, root):
     return V.records(spark, root).select("id", S.token_estimate(F.col("document")).alias("tokens"))
 
 
-@register("sanitize_queries")
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@register(
+    "sanitize_queries",
+    rf"""WITH said AS (
+      SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN repeat('You are a careful assistant.' || chr(10), 10) || 'Query: ' || text ELSE text END AS query FROM conversations WHERE role = 'user'
+    ), cut AS (
+      SELECT *, {_STRIP.format("query")} AS raw, list_filter(list_transform(string_split({_STRIP.format("query")}, chr(10)), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS lines FROM said
+    ), found AS (
+      SELECT *, coalesce(raw, '') = '' AS empty, CASE WHEN length(raw) <= 200 THEN raw END AS whole,
+        {_STRIP.format(r"regexp_extract(raw, '(?is)\b(?:search\s+query|user\s+query|actual\s+query|query|question|task)\b\s*:\s*(\S.*)', 1)")} AS labelled,
+        list_filter(lines, lambda x: regexp_matches(x, '[?？]\s*["'']?\s*$'))[-1] AS asked, right(list_filter(lines, lambda x: length(x) >= 10)[-1], 500) AS line FROM cut
+    ), steps AS (
+      SELECT *, CASE WHEN length(labelled) >= 10 THEN right(labelled, 500) END AS label, CASE WHEN length(asked) >= 10 THEN right(asked, 500) END AS question FROM found
+    ), clean AS (
+      SELECT *, CASE WHEN empty THEN coalesce(query, '') ELSE coalesce(whole, label, question, line, {_STRIP.format("right(raw, 500)")}) END AS clean_query FROM steps
+    )
+    SELECT conv_id, turn, clean_query, CASE WHEN empty OR whole IS NOT NULL THEN 'passthrough' WHEN label IS NOT NULL THEN 'labeled_tail' WHEN question IS NOT NULL THEN 'question_extraction'
+      WHEN line IS NOT NULL THEN 'tail_sentence' ELSE 'tail_truncation' END AS method,
+      CAST(CASE WHEN empty THEN coalesce(length(query), 0) ELSE length(raw) END AS INTEGER) AS original_length, CAST(length(clean_query) AS INTEGER) AS clean_length FROM clean""",
+)
 def sanitize_queries(spark, root):
     """Users' turns with a prompt's text before them."""
     asked = table(spark, root, "conversations").where("role = 'user'")
