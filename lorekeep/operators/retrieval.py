@@ -1,18 +1,19 @@
 """Dense, lexical and hybrid top-k retrieval, and its quality measures.
 
-A set of queries is broadcast against the records, whose best ``k`` for each query are kept in each partition
-(WindowGroupLimit) before the one shuffle by query. A set too large for one broadcast is taken in blocks.
+Blocks of queries meet blocks of records, of which the best ``k`` for each query go on to the one shuffle by query.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that may be broadcast at once; more are taken in blocks of this size.
-QUERY_BLOCK = 10_000
+#: Queries of a block, vectors of a block, and queries of a block that are met at a time.
+QUERY_BLOCK, VECTOR_BLOCK, CHUNK = 10_000, 8_192, 256
 # Words that no query searches for.
 STOP_WORDS = (
     "the", "and", "for", "with", "from", "that", "this", "into", "what", "when", "where", "which", "while", "have", "has", "had", "was",
@@ -36,21 +37,106 @@ def _blocks(queries: DataFrame, block: int) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 
+def cells(rows: DataFrame, queries: DataFrame, key: str, size: int, block: int, count: int, run, schema: str) -> DataFrame:
+    """``run`` (two Arrow tables) for every block of about ``size`` of the rows, dealt by ``key``, with every block of queries: the work of
+    all pairs in pieces whose number grows with both sides and whose size doesn't. ``count`` is about how many keys there are."""
+    n, m = max(-(-count // size), 1), max(-(-queries.select("query_id").distinct().count() // block), 1)
+    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    held = rows.withColumn("_row", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).select("*", each(m).alias("_query"))
+    asked = queries.withColumn("_query", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int")).select("*", each(n).alias("_row"))
+    return held.groupBy("_row", "_query").cogroup(asked.groupBy("_row", "_query")).applyInArrow(run, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Equally long lists as rows, and which of them are not null; null ones are rows of zeros."""
+    known = np.array(column.is_valid().to_pylist(), bool)
+    flat = np.concatenate([np.zeros(0), *(c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks)])
+    out = np.zeros((len(known), len(flat) // max(int(known.sum()), 1)))
+    out[known] = flat.reshape(-1, out.shape[1]) if len(flat) else 0.0
+    return out, known
+
+
+def _total(products: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, added in order as Spark and SQL add."""
+    return reduce(np.add, (products[..., d] for d in range(products.shape[-1])), np.zeros(products.shape[:-1]))
+
+
+def _codes(rows: pa.ChunkedArray, wanted: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values as equal numbers; a null is -2 among rows and -1 among what is wanted."""
+    code: dict = {}
+    number = lambda column, null: np.array([null if v is None else code.setdefault(v, len(code)) for v in column.to_pylist()], np.int64)
+    return number(rows, -2), number(wanted, -1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", keep: tuple[str, ...] = (), fits: tuple[str, ...] = (), skip_self: bool = False, zero: float | None = None, block: int = QUERY_BLOCK, size: int = VECTOR_BLOCK, count: int | None = None) -> DataFrame:
+    """(query_id, key, keep.., distance, rank): the nearest ``k`` by cosine distance, rounded to six places, ties by ``key``.
+
+    A block of vectors meets a block of queries (query_id, query) by a product of matrices, and only the best ``k`` of each query leave it;
+    their distances are added anew in order. A vector has to equal a query's ``q_`` columns of ``fits`` that are not null. Without
+    a direction (zeros) the distance is ``zero``, or not a number, and of a null ``zero`` or null; both come last.
+    """
+    kept = [key, *keep]
+    held = vectors.select(*kept, *(c for c in fits if c not in kept), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"), *(f"q_{c}" for c in fits))
+    if skip_self:
+        held, asked = held.where(F.col(key).isNotNull()), asked.where("query_id IS NOT NULL")
+    of = {f.name: f.dataType.simpleString() for f in held.schema}
+    names = ["query_id", *kept, "distance"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip(names, [asked.schema["query_id"].dataType.simpleString(), *(of[c] for c in kept), "double"], strict=True))
+
+    def run(rows: pa.Table, ask: pa.Table) -> pa.Table:
+        made = []
+        if rows.num_rows and ask.num_rows:
+            rows = rows.sort_by(key)
+            (u, known), (q, stated) = _matrix(rows["embedding"]), _matrix(ask["query"])
+            if not known.any() or not stated.any():
+                u, q = np.zeros((len(u), 1)), np.zeros((len(q), 1))
+            norm, q_norm = np.sqrt(_total(u * u)), np.sqrt(_total(q * q))
+            ids, asking = rows[key].to_numpy(), ask["query_id"].to_numpy()
+            low, high = (np.searchsorted(ids, asking, side) for side in ("left", "right")) if skip_self else (np.zeros(len(q), int),) * 2
+            codes = [_codes(rows[c], ask[f"q_{c}"]) for c in fits]
+            best_of = min(k, len(u))
+            for at in range(0, len(q), CHUNK):
+                part = slice(at, at + CHUNK)
+                both = q_norm[part, None] * norm[None]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    order = np.floor((1 - (q[part] @ u.T) / both) * 1e6 + 0.5)
+                order[both == 0] = np.nan if zero is None else np.floor(zero * 1e6 + 0.5)
+                # Rounded distance and place as one number, exact below 2 ** 53; what isn't a number comes next, and nulls after it.
+                order = np.where(np.isnan(order), 2.0**51, order * len(u) + np.arange(len(u)))
+                if zero is None:
+                    order[~stated[part], :] = 2.0**52
+                    order[:, ~known] = 2.0**52
+                for i in np.flatnonzero(high[part] > low[part]):
+                    order[i, low[part][i] : high[part][i]] = np.inf
+                for have, want in codes:
+                    order[(want[part, None] >= 0) & (want[part, None] != have[None])] = np.inf
+                best = np.argpartition(order, best_of - 1, axis=1)[:, :best_of]
+                inside = np.take_along_axis(order, best, 1) < np.inf
+                asks, found = np.nonzero(inside)[0] + at, best[inside]
+                both = norm[found] * q_norm[asks]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    distance = 1 - _total(u[found] * q[asks]) / both
+                if zero is not None:
+                    distance[both == 0] = zero
+                null = np.zeros(len(found), bool) if zero is not None else ~(known[found] & stated[asks])
+                taken = pa.array(found)
+                made.append(pa.table([ask["query_id"].take(pa.array(asks)), *(rows[c].take(taken) for c in kept), pa.array(distance, mask=null)], names=names))
+        empty = pa.table([ask["query_id"].slice(0, 0), *(rows[c].slice(0, 0) for c in kept), pa.array([], pa.float64())], names=names)
+        return pa.concat_tables([empty, *made])
+
+    found = cells(held, asked, key, size, block, vectors.count() if count is None else count, run, schema)
+    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), key)
+    return found.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool = True, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, vec_id, label, distance, rank): the nearest by cosine distance, ties by vec_id.
 
     ``queries`` has query_id and query (an embedding). Distances are rounded to six places before ranking, so that the
-    order of additions can't change a tie. All rows of a query are in one block, so its ranks are those over all records.
+    order of additions can't change a tie. Every block of vectors gives its best for each query, so ranks are those over all records.
     """
-    return reduce(DataFrame.unionByName, (_dense_block(vectors, part, k, skip_self) for part in _blocks(queries, block)))
-
-
-def _dense_block(vectors: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    q = queries.select("query_id", F.col("query").alias("q"), F.sqrt(dot(F.col("query"), F.col("query"))).alias("q_norm"))
-    pairs = with_norm(vectors).join(F.broadcast(q), F.lit(True) if not skip_self else F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", "label", F.round(1 - dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return nearest(vectors, queries, k, keep=("label",), skip_self=skip_self, block=block)
 
 
 def check_duplicate(vectors: DataFrame, queries: DataFrame, threshold: float = 0.9, nearest: int = 5) -> DataFrame:

@@ -71,3 +71,17 @@ def test_blocks_and_empty(spark, held):
     rows = lambda **o: sorted(map(repr, S.search(*held, queries, "hybrid", 3, **o).collect()))
     assert rows(block=2) == rows() and len(rows()) == 18
     assert S.search(held[0].limit(0), held[1].limit(0), queries).count() == 0 == S.search(*held, queries.limit(0)).count()
+
+
+def test_nearest_without_direction(spark):
+    """Zeros and nulls have no direction: they come last, after all others, and a block of two vectors is a task of its own."""
+    from lorekeep.operators import retrieval as R
+
+    rows = [(k, [1.0, float(k)], k % 2) for k in range(1, 7)] + [(7, [0.0, 0.0], 1), (8, None, 1), (9, [1.0, 1.0], 0)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    queries = vectors.where("vec_id IN (1, 8)").selectExpr("vec_id AS query_id", "embedding AS query", "CASE WHEN vec_id = 8 THEN 0 END AS q_label")
+    got = {q: [r["vec_id"] for r in sorted(R.dense_top_k(vectors, queries, 9).where(f"query_id = {q}").collect(), key=lambda r: r["rank"])] for q in (1, 8)}
+    assert got == {1: [9, 2, 3, 4, 5, 6, 7, 8], 8: [1, 2, 3, 4, 5, 6, 7, 9]}
+    held = R.nearest(vectors, queries, 9, keep=("label",), fits=("label",), zero=1.0, block=1, size=2)
+    assert [r["vec_id"] for r in held.where("query_id = 8").orderBy("rank").collect()] == [2, 4, 6, 9]
+    assert [r["distance"] for r in held.where("query_id = 1").orderBy("rank").collect()][-2:] == [1.0, 1.0]
