@@ -10,10 +10,14 @@ from lorekeep.operators.ingest import skeleton_sources
 from lorekeep.plans.registry import register
 
 _WORDS = "[a-zA-Z]{3,}"
+#: Partitions of the documents.
+PARTS = 192
 
 
 def _words(spark, root):
-    return table(spark, root, "documents").select("doc_id", "lang", "source", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORDS), 0).alias("w"))
+    # Dealt anew: of a file's rows one task would read all, and a source is many times as long as its text.
+    docs = table(spark, root, "documents").select("doc_id", "lang", "source", "text").repartition(PARTS)
+    return docs.select("doc_id", "lang", "source", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_WORDS), 0).alias("w"))
 
 
 def _python(words):

@@ -184,3 +184,15 @@ def test_ingest_and_restore(spark, tmp_path):
     ingest.restore_sources(spark, str(root), table, "d", rooms, "me")
     assert "line_9 = 9" in said("large.py") and ingest.skeleton_sources(table.read()).count() == 0
     assert ingest.restore_sources(spark, str(root), table, "d", rooms, "me") is None
+
+
+def test_alike_statements_are_walked_once(monkeypatch):
+    """Statements that repeat are read once, plain lines not token by token; what whole files give is what one walk over them gives."""
+    calls = []
+    walked = S._walked
+    monkeypatch.setattr(S, "_walked", lambda code: calls.append(code) or walked(code))
+    S._remembered.cache_clear()
+    code = "def f(a):\n    x = {'k': [1, (2,\n 3)]}\n    return x\n\n\nK_1 = 2\n" * 50
+    assert len(S.statements(code)) == 200 and len(calls) == 2
+    for odd in ("a = (\\\n1)\\\n", "x = '''(\n''' \\\n\\", "def f(:\n  pass", "@d:\\\n\\", "\tif x:\n  y=1\r\n", "a==b=c", "x = [[[[[[1]]]]]]\ny: int = 2\n", "'a\n"):
+        assert S.statements(odd) == walked(odd), odd
