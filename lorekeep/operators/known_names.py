@@ -48,7 +48,6 @@ AGAINST = (
 SURE, OFTEN = 0.75, 3
 REGISTRY = "name string, kind string, aliases array<string>, source string, confidence double, contexts array<string>, relationship string, ambiguous boolean"
 _AUTOMATA: dict[str, ahocorasick.Automaton] = {}
-_PATTERNS: dict[str, tuple[list[re.Pattern], list[re.Pattern]]] = {}
 
 
 def is_common(name: Column, common: Iterable[str] = COMMON) -> Column:
@@ -91,14 +90,52 @@ def _edge(text: str, at: int) -> bool:
     return inside(at - 1) != inside(at)
 
 
+def _sides(pattern: str) -> tuple[list[re.Pattern] | str, re.Pattern]:
+    """What a pattern asks for in front of the name, and behind it. In front that is an edge of a word, the text's start, nothing, or
+    expressions that end where the name begins, one for each way of an optional end."""
+    left, right = pattern.split("@")
+    left = "" if left.endswith(r"(?:the\s+)?") else left
+    ways = [left.replace(OFF, ""), left.replace(OFF, r"off\s+")] if OFF in left else [left]
+    return left if left in ("", "^", r"\b") else [re.compile(way) for way in ways], re.compile(right)
+
+
+OFF = r"(?:off\s+)?"
+SIDES = tuple([_sides(p) for p in kind] for kind in (FOR, AGAINST))
+_BOUND = re.compile(r"\b")
+
+
+class Votes:
+    """How many patterns around a lower-case name speak for a person in one lower-case text, and how many against. Patterns are
+    split at the name, so that they are the same for all names, and what stands in front is found once in a text."""
+
+    def __init__(self, low: str) -> None:
+        self.low, self.ends = low, {}
+
+    def _before(self, ways: list[re.Pattern]) -> set[int]:
+        if ways[0] not in self.ends:
+            self.ends[ways[0]] = {m.end() for way in ways for m in way.finditer(self.low)}
+        return self.ends[ways[0]]
+
+    def _fits(self, side: tuple, places: list[tuple[int, bool]], size: int) -> bool:
+        left, right = side
+        if isinstance(left, list):
+            before = self._before(left)
+            return bool(before) and any(at in before and right.match(self.low, at + size) for at, _ in places)
+        return any((left == "" or (at == 0 if left == "^" else bound)) and right.match(self.low, at + size) for at, bound in places)
+
+    def of(self, name: str) -> tuple[int, int]:
+        if name[:1].isspace():  # blanks in front of it may be the pattern's or its own
+            return tuple(sum(re.search(p.replace("@", re.escape(name)), self.low) is not None for p in kind) for kind in (FOR, AGAINST))
+        places, at = [], self.low.find(name)
+        while at >= 0:
+            places.append((at, _BOUND.match(self.low, at) is not None))
+            at = self.low.find(name, at + 1)
+        return tuple(sum(self._fits(side, places, len(name)) for side in kind) for kind in SIDES)
+
+
 def votes(name: str, low: str) -> tuple[int, int]:
-    """How many patterns around a lower-case name speak for a person in a lower-case text, and how many against."""
-    if name not in _PATTERNS:
-        if len(_PATTERNS) > 4096:
-            _PATTERNS.clear()
-        _PATTERNS[name] = tuple([re.compile(p.replace("@", re.escape(name))) for p in kind] for kind in (FOR, AGAINST))
-    pro, contra = _PATTERNS[name]
-    return sum(p.search(low) is not None for p in pro), sum(p.search(low) is not None for p in contra)
+    """The votes about one name in one text."""
+    return Votes(low).of(name)
 
 
 def mentions(texts: DataFrame, registry: DataFrame, id_col: str = "id", text_col: str = "document") -> DataFrame:
@@ -128,8 +165,9 @@ def _block(texts: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
             for row, text in enumerate(batch.column(1).to_pylist() if ambiguous else ()):
                 low = level(text or "")
                 here = {key for end, key in _AUTOMATA[token].iter(low) if _edge(low, end + 1) and _edge(low, end + 1 - len(key))}
+                said = Votes(low)
                 for key in sorted(here):
-                    persons, concepts = votes(key, low) if ambiguous[key] else (0, 0)
+                    persons, concepts = said.of(key) if ambiguous[key] else (0, 0)
                     for column, value in zip((at, found, pro, contra), (row, key, persons, concepts), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.utf8()), pa.array(pro, pa.int32()), pa.array(contra, pa.int32())], names=["id", "key", "persons", "concepts"])

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from lorekeep.engine.session import table
+from lorekeep.engine.shared import store
 from lorekeep.operators import known_names as K
 from lorekeep.plans.registry import register
 
@@ -64,13 +65,14 @@ def _said(spark, root):
 
 def _registry(spark, root):
     words = table(spark, root, "documents").select(F.explode(F.split("text", r"[^\p{L}\p{N}_]+")).alias("word"))
-    caps = words.where(F.col("word").rlike(r"\A[A-Z][a-z]{2,15}\z")).groupBy(F.col("word").alias("name")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    words = store(words.where(F.col("word").rlike(r"\A([A-Z][a-z]{2,15}|[a-z]+)\z")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "registry-words")
+    caps = words.where(F.col("word").rlike(r"\A[A-Z]") & (F.col("n") >= LEAST)).select(F.col("word").alias("name"))
     people = caps.select("name", F.lit("").alias("relationship"), F.lit("work").alias("context"))
     aliases = caps.where(F.length("name") > 6).select(F.left("name", F.lit(4)).alias("alias"), "name")
     made = K.seeded(people, table(spark, root, "nation").select(F.col("n_name").alias("name")), aliases)
-    lows = words.where(F.col("word").rlike(r"\A[a-z]+\z")).select(F.col("word").alias("low")).distinct().withColumn("seen", F.lit(True))
+    lows = words.where(F.col("word").rlike(r"\A[a-z]+\z")).select(F.col("word").alias("low")).withColumn("seen", F.lit(True))
     flag = (F.col("kind") == "person") & F.coalesce("seen", F.lit(False))
-    return made.withColumn("low", F.lower("name")).join(lows, "low", "left").withColumn("ambiguous", flag).select(*made.columns)
+    return store(made.withColumn("low", F.lower("name")).join(lows, "low", "left").withColumn("ambiguous", flag).select(*made.columns), "registry")
 
 
 @register("names_mentioned", f"WITH {_VOTED} SELECT id, key, persons, concepts FROM voted")

@@ -75,3 +75,18 @@ def test_unknown_and_learned(spark, registry):
     assert [(r["name"], r["kind"], r["source"], r["ambiguous"]) for r in found] == [("Nora", "person", "learned", False)] and found[0]["confidence"] >= 0.75
     assert K.learned(df, registry, stop=("nora",)).count() == 0
     assert {(r["id"], r["name"]) for r in K.people_in(df, registry.unionByName(K.learned(df, registry).select(*registry.columns))).collect()} == {(1, "Nora"), (2, "Nora"), (2, "Riley"), (3, "Riley")}
+
+
+def test_votes_without_patterns_of_a_name(monkeypatch):
+    """The votes are those of each pattern with the name put in; no pattern is made for a name."""
+    import random
+    import re
+
+    rnd = random.Random(5)
+    parts = ["anan", "an", "off", "with", "ann", "ananan", "'s", "s'", ":", "the", "is", "said", "of", "to", "drop", "dropped", "my", "son", "have", "you", "if", "not", "was", "thanks", "hey", "will", "more", "since", "é", "x.y", "picked", "up"]
+    texts = ["", "ananan of it", "drop off off", "drop off an", "anan: so", "my son  an", *("".join(rnd.choice(parts) + rnd.choice(["", " ", " ", "  ", "\n"]) for _ in range(rnd.randint(1, 12))) for _ in range(1500))]
+    names = ("an", "anan", "off", "with", "said", "x.y", "will", "is", "é", "my son", " an")
+    want = [tuple(sum(re.search(p.replace("@", re.escape(n)), t) is not None for p in kind) for kind in (K.FOR, K.AGAINST)) for t in texts for n in names]
+    assert [K.votes(n, t) for t in texts for n in names] == want and len(set(want)) > 6
+    monkeypatch.setattr(re, "compile", None)
+    assert K.votes("anna", "anna said it, not anna") == (2, 1)
