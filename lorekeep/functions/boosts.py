@@ -14,7 +14,7 @@ NOT_NAMES = ("What", "When", "Where", "Who", "How", "Which", "Did", "Do", "Was",
 def quoted(question: Column) -> Column:
     """Phrases of 3 to 60 characters in single, then in double quotes."""
     found = F.concat(F.regexp_extract_all(question, F.lit("'([^']{3,60})'"), 1), F.regexp_extract_all(question, F.lit('"([^"]{3,60})"'), 1))
-    return F.filter(F.transform(found, F.trim), lambda p: F.length(p) >= 3)
+    return F.filter(F.transform(found, lambda p: F.trim(p)), lambda p: F.length(p) >= 3)
 
 
 def person_names(question: Column) -> Column:

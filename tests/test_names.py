@@ -53,3 +53,8 @@ def test_lexical_score(spark):
     score = R.lexical_score(F.col("a"), ["the", "blue", "door"], ("house",))
     assert values(spark, score, "A blue house", "the the", None, "BLUE door house") == [0.6, 0.0, 0.0, 1.0]
     assert values(spark, R.lexical_score(F.col("a"), ["the"]), "the") == [0.0]
+
+
+def test_phrases_lose_blanks_alone(spark):
+    """Blanks at the ends of a phrase go, and no digit that is its place among the phrases."""
+    assert values(spark, B.quoted(F.col("a")), ("'0 first ' and ' 1second 1' \"2third \"",)) == [["0 first", "1second 1", "2third"]]
