@@ -57,4 +57,4 @@ def test_lexical_score(spark):
 
 def test_phrases_lose_blanks_alone(spark):
     """Blanks at the ends of a phrase go, and no digit that is its place among the phrases."""
-    assert values(spark, B.quoted(F.col("a")), ("'0 first ' and ' 1second 1' \"2third \"",)) == [["0 first", "1second 1", "2third"]]
+    assert values(spark, B.quoted(F.col("a")), "'0 first ' and ' 1second 1' \"2third \"") == [["0 first", "1second 1", "2third"]]
