@@ -42,6 +42,9 @@ TRY = (rf"(?iU)\b(?:try|use)\s+({ENTITY})\b", (("uses", 1),), 0, 0.55, 0.55)
 #: A sentence that any rule fits has one of these.
 HINT = r"(?i)from|with|uses?\s|\son\s|deployed|maintains|try"
 
+#: Partitions of records and of what they say.
+PARTS = 192
+
 COLUMNS = ("candidate_id", "subject", "predicate", "object", "confidence", "modality", "polarity", "valid_from", "valid_to", "source_id", "evidence", "source_file", "domain", "topic", "status", "reviewed_at")
 
 
@@ -77,7 +80,8 @@ def extract(records: DataFrame, version: str = "rules-v1") -> DataFrame:
     """
     source = F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.nullif(F.col("source_file"), F.lit("")), F.lit("project"))
     kept = ("id", "domain", "topic", "source_file")
-    sentences = records.select(*kept, source.alias("source"), F.posexplode(F.split("document", SENTENCE_END)).alias("nth", "s"))
+    # A small file can hold many records: dealt anew, so that no task has the facts of them all.
+    sentences = records.repartition(PARTS, "id").select(*kept, source.alias("source"), F.posexplode(F.split("document", SENTENCE_END)).alias("nth", "s"))
     sentences = sentences.where(F.col("s").rlike(HINT)).withColumn("s", F.trim(F.regexp_replace("s", r"(?U)^\s+|\s+$", ""))).withColumn("modality", modality(F.col("s")))
     s, mode = F.col("s"), F.col("modality")
     rows = []
@@ -103,11 +107,12 @@ def propose(candidates: DataFrame) -> DataFrame:
 
 
 def merge(proposals: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` over ``proposals`` by id; one that is there keeps its status and when it was reviewed."""
+    """``new`` over ``proposals`` by id; one that is there keeps its status and when it was reviewed. Neither is broadcast: from small files
+    many proposals come."""
     state = proposals.select("candidate_id", F.col("status").alias("old_status"), F.col("reviewed_at").alias("old_at"))
-    fresh = new.dropDuplicates(["candidate_id"]).join(state, "candidate_id", "left")
+    fresh = new.dropDuplicates(["candidate_id"]).join(state.hint("merge"), "candidate_id", "left")
     fresh = fresh.withColumn("status", F.coalesce("old_status", "status")).withColumn("reviewed_at", F.when(F.col("old_status").isNotNull(), F.col("old_at")).otherwise(F.col("reviewed_at")))
-    return proposals.join(new.select("candidate_id"), "candidate_id", "left_anti").unionByName(fresh.drop("old_status", "old_at"))
+    return proposals.join(new.select("candidate_id").hint("merge"), "candidate_id", "left_anti").unionByName(fresh.drop("old_status", "old_at"))
 
 
 def page(proposals: DataFrame, match: Column | None = None, least: float | None = None, offset: int = 0, limit: int = 50) -> DataFrame:

@@ -57,3 +57,13 @@ def test_way_of_a_proposal(spark, found):
     states, held = P.accept(again, facts, chosen, "2025-03-01", close_conflicts=True)
     assert {r["object"]: r["status"] for r in states.where("object IN ('Envoy', 'Rust', 'Kafka')").collect()} == {"Envoy": "accepted", "Rust": "rejected", "Kafka": "proposed"}
     assert {(r["object"], r["valid_from"], r["valid_to"]) for r in held.collect()} == {("Caddy", "2024-01-01", "2025-03-01"), ("Old", "2020-01-01", "2021-01-01"), ("Envoy", "2025-03-01", None)}
+
+
+def test_facts_are_dealt_and_not_broadcast(spark, sf_dir):
+    """Records of one file are many tasks' work, and proposals meet proposals without a broadcast."""
+    from lorekeep.operators import proposals
+    from lorekeep.plans.registry import queries
+
+    found = queries()["kg_extract_rules"](spark, sf_dir)
+    assert found.rdd.getNumPartitions() >= proposals.PARTS
+    assert "Broadcast" not in queries()["kg_propose"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
