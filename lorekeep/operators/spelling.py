@@ -1,22 +1,28 @@
 """Spelling of users' words, mended by a deletion-neighbourhood index with a cap on edits.
 
 Two strings within d edits have a common string that both reach by deleting d characters at most, and so have their first
-``HEAD`` characters. The dictionary is keyed by those deletions of its words' heads (64 keys a word at most), unknown tokens by
-theirs; a join on keys finds all candidates, and Spark's banded ``levenshtein`` decides. No text meets the dictionary: only
-distinct tokens that no rule leaves alone do, and a text is put together again from its own pieces.
+``HEAD`` characters. The dictionary is keyed by those deletions of its words' heads (299 keys a word at most), unknown tokens by
+theirs; a join on keys finds all candidates, and Spark's banded ``levenshtein`` decides. As the nearest word wins, one edit is
+tried first, and more only for tokens that fewer did not mend. Heads are long, so that what is left of one after its
+deletions still tells words apart. No text meets the dictionary: only distinct tokens that no rule leaves alone do, and a
+text is put together again from its own pieces.
 
 Of words within the cap the nearest wins, then the most frequent, then the first in order. A token keeps its punctuation, blanks stay.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.engine.shared import small, store
+from lorekeep.engine.shared import drop, small, store
 
 #: Characters of a word whose deletions are its keys.
-HEAD = 7
+HEAD = 12
+#: Partitions that the dictionary is dealt over, as each of its words has many keys.
+PARTS = 96
 # Least characters of a token, characters of a short one, and edits that a short and a long one may need.
 LEAST, SHORT, FEW, MANY = 4, 7, 2, 3
 #: Tokens that are left alone have a digit, a hump, only capitals and signs, a hyphen or underscore, are places, or code.
@@ -50,33 +56,38 @@ def cap(word: Column) -> Column:
     return F.when(F.length(word) <= SHORT, FEW).otherwise(MANY)
 
 
-def _deletions(words: DataFrame, edits: Column) -> DataFrame:
-    """``words`` with ``key``: each string that deleting up to ``edits`` characters of the head of ``word`` gives."""
-    one = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.concat(F.substr(s, F.lit(1), k - 1), F.substr(s, k + 1)))
-    less = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(c, lambda s: s != ""), one)))
-    out = words.withColumn("_d0", F.array(F.left("word", F.lit(HEAD)))).withColumn("_edits", edits)
-    for k in range(1, MANY + 1):  # a column for each step: a lambda would evaluate what it is given at each mention
-        out = out.withColumn(f"_d{k}", F.when(F.col("_edits") >= k, less(F.col(f"_d{k - 1}"))).otherwise(F.array().cast("array<string>")))
-    keys = F.array_distinct(F.concat(*(f"_d{k}" for k in range(MANY + 1))))
-    return out.select(*words.columns, F.explode(keys).alias("key"))
+def _deletions(words: DataFrame, edits: int) -> DataFrame:
+    """``words`` with ``key``: a hash of each string that deleting up to ``edits`` characters of the head of ``word`` gives."""
+    out = words.withColumn("_head", F.left("word", F.lit(HEAD)))
+    out = out.withColumn("_at", F.length("_head") + 1)
+    for _ in range(edits):  # one place before the last one, or none: zero
+        out = out.withColumn("_at", F.explode(F.sequence(F.lit(0), F.greatest(F.col("_at") - 1, F.lit(0)))))
+        less = F.concat(F.substr("_head", F.lit(1), F.col("_at") - 1), F.substr("_head", F.col("_at") + 1))
+        out = out.withColumn("_head", F.when(F.col("_at") == 0, F.col("_head")).otherwise(less))
+    return out.select(*words.columns, F.xxhash64("_head").alias("key"))
 
 
 def corrections(tokens: DataFrame, words: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(word, correct) for each distinct bare token of ``tokens`` (word) that a word of the dictionary (word, times) is near
     enough to, and that is neither left alone, nor in the dictionary in lower case, nor one of ``names`` (name)."""
+    words = store(words.repartition(PARTS), "spelling-words")
     known = words.select(F.col("word").alias("low"))
     if names is not None:
         known = known.unionByName(names.select(F.lower("name").alias("low")))
     unknown = tokens.where(~left_alone(F.col("word"))).select("word").distinct().withColumn("low", F.lower("word"))
-    unknown = store(unknown.join(known.distinct(), "low", "left_anti").select("word"), "spelling-unknown")
-    asked = _deletions(unknown, cap(F.col("word"))).select("word", "key")
-    index = _deletions(words, F.lit(MANY)).select(F.col("word").alias("correct"), "times", "key")
-    limit = cap(F.col("word"))
-    met = asked.join(index, "key").where(F.abs(F.length("word") - F.length("correct")) <= limit).select("word", "correct", "times").distinct()
-    near = F.when(F.length("word") <= SHORT, F.levenshtein("word", "correct", FEW)).otherwise(F.levenshtein("word", "correct", MANY))
-    near = met.withColumn("edits", near).where("edits >= 0")
-    best = F.min_by("correct", F.struct("edits", -F.col("times"), "correct"))
-    return near.groupBy("word").agg(best.alias("correct"))
+    left = store(unknown.join(known.distinct(), "low", "left_anti").select("word"), "spelling-unknown")
+    index = words.select(F.col("word").alias("correct"), "times", "word")
+    best = F.min_by("correct", F.struct(-F.col("times"), F.col("correct"))).alias("correct")
+    found: list[DataFrame] = []
+    for edits in range(1, MANY + 1):  # what is left has no word within fewer edits
+        asked = store(_deletions(left.where(cap(F.col("word")) >= edits), edits), "spelling-asked")
+        met = small(asked).join(_deletions(index, edits).drop("word"), "key")
+        near = met.where((F.abs(F.length("word") - F.length("correct")) <= edits) & (F.levenshtein("word", "correct", edits) >= 0))
+        found.append(store(near.groupBy("word").agg(best), "spelling-near"))
+        rest = store(left.join(small(found[-1].select("word")), "word", "left_anti"), "spelling-unknown")
+        drop(left, asked)
+        left = rest
+    return reduce(DataFrame.unionByName, found)
 
 
 def corrected(texts: DataFrame, words: DataFrame, names: DataFrame | None = None, id_col: str = "id", text_col: str = "document") -> DataFrame:

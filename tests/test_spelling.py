@@ -68,3 +68,17 @@ def test_transcripts(spark):
 def test_dictionary(spark):
     df = spark.createDataFrame([("word word, Word wörd wörd wörd x_word word1 word",), (None,)], "document string")
     assert {tuple(r) for r in spelling.dictionary(df).collect()} == {("word", 3), ("wörd", 3)}
+
+
+def test_common_heads(spark):
+    """Words that begin alike meet by what tells them apart, not each with each; more edits are tried only for what fewer don't mend."""
+    rng = random.Random(5)
+    tail = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    words = {"through" + tail(): rng.randrange(3, 9) for _ in range(300)}
+    tokens = {"through" + tail() for _ in range(100)} - set(words)
+    df = spark.createDataFrame(list(words.items()), "word string, times long")
+    asked = spark.createDataFrame([(t,) for t in tokens], "word string")
+    index = spelling._deletions(df, 3).withColumnRenamed("word", "correct")
+    assert spelling._deletions(asked, 3).join(index, "key").select("word", "correct").distinct().count() < 0.3 * len(words) * len(tokens)
+    want = {t: c for t in tokens if (c := brute(t, words))}
+    assert dict(map(tuple, spelling.corrections(asked, df).collect())) == want and want
