@@ -76,3 +76,34 @@ def test_scope(spark):
     df = spark.createDataFrame([("1", "src/Auth.py", "x", "d1"), ("2", "src/auth.py", "x", "d2"), ("3", None, "x", "d1")], "id string, source_file string, document string, domain string")
     ids = lambda **o: sorted(r[0] for r in dedup.in_scope(df, **o).collect())
     assert ids() == ["1", "2", "3"] and ids(source="AUTH") == ["1", "2"] and ids(source="auth", domain="d1") == ["1"]
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.15, 0.3, 0.5])
+def test_keys_of_ranges(spark, threshold):
+    """Near sets of any size share a key, the nearest to the threshold too; sets that share half of their words meet seldom."""
+    rng = random.Random(int(threshold * 100))
+    word = lambda: rng.randrange(-(2**63), 2**63)
+    sets = [set()]
+    for size in [*range(1, 60), 100, 333, 1000]:
+        first = [word() for _ in range(size)]
+        sets.append(set(first))
+        for drop in range(0, size, max(1, size // 12)):
+            for new in {0, drop // 2, drop}:
+                sets.append({*first[drop:], *(word() for _ in range(new))})
+    rows = [(f"{k:05d}", "s", sorted(s)) for k, s in enumerate(sets)]
+    found = {}
+    for key, id_ in map(tuple, dedup.keys(spark.createDataFrame(rows, "id string, source string, words array<long>"), threshold).collect()):
+        found.setdefault(int(id_), set()).add(key)
+    near = apart = met = 0
+    for a in range(len(sets)):
+        for b in range(a + 1, min(a + 60, len(sets))):
+            if sets[a] == sets[b] or not sets[a] or not sets[b]:
+                continue
+            distance = round(1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
+            meet = bool(found.get(a, set()) & found.get(b, set()))
+            assert meet or distance >= threshold
+            near += distance < threshold
+            far = len(sets[a]) > 30 and len(sets[b]) > 30 and distance > 0.6
+            apart, met = apart + far, met + (far and meet)
+    assert near > 50 and apart > 100
+    assert threshold > 0.15 or met < 0.2 * apart
