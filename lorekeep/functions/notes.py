@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lorekeep.functions.noise import strip
+from lorekeep.functions.once import once
 
 # Tones with their codes, words that make a quote weigh more, flags in their order, and what patterns quotes follow.
 TONES = {
@@ -119,8 +120,7 @@ def flags() -> Column:
 
 
 def _weight_of_quote(quote: Column) -> Column:
-    low = F.lower(quote)
-    felt = sum((F.when(low.contains(w), 2).otherwise(0) for w in FELT), F.lit(0))
+    felt = once(F.lower(quote), lambda low: sum((F.when(low.contains(w), 2).otherwise(0) for w in FELT), F.lit(0)))
     return felt + F.when(quote.rlike(r"^\p{Lu}"), 2).otherwise(0) + F.when(F.length(quote) > 20, 1).otherwise(0) - F.when(quote.rlike("^(?:The|This|She) "), 2).otherwise(0)
 
 
@@ -155,12 +155,12 @@ def weight() -> Column:
 
 def note_line(known: dict[str, str] | None = None, skip: tuple[str, ...] = ()) -> Column:
     """A note's line. A null field is an absent one; a weight is half without one; an empty part is left out."""
-    quote = key_quote()
+    quote = once(key_quote(), lambda q: F.when(q != "", F.concat(F.lit('"'), q, F.lit('"'))))
     return F.concat_ws(
         "|",
         F.concat(_last(F.col("note_id")), F.lit(":"), some(name_codes(F.col("people"), known, skip))),
         topic(F.col("topics")),
-        F.when(quote != "", F.concat(F.lit('"'), quote, F.lit('"'))),
+        quote,
         weight().cast("string"),
         some(tone_codes(F.col("tones")), None),
         some(flags(), None),

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.engine.shared import store
 from lorekeep.functions import notes as N
 from lorekeep.functions.noise import strip
 
@@ -50,7 +51,9 @@ def lines(notes: DataFrame, links: DataFrame | None = None, arcs: DataFrame | No
 
 
 def archive(file_lines: DataFrame) -> DataFrame:
-    """All files' lines in the order of their names, each file closed by a line of dashes; sorted by ranges, to be written as text."""
+    """All files' lines in the order of their names, each file closed by a line of dashes; sorted by ranges, to be written as text.
+    Lines are stored first: their files, the sort's sample and the sort itself would make them anew each."""
+    file_lines = store(file_lines, "notes-lines")
     ends = file_lines.select("file").distinct().select("file", F.lit(END).alias("part"), F.lit(0).cast("long").alias("position"), F.lit("---").alias("line"))
     return file_lines.unionByName(ends).orderBy(*ORDER)
 

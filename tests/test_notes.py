@@ -140,3 +140,11 @@ def test_digest(spark):
     links = spark.createDataFrame([("a", k, "1", "2", f"l{k}: x") for k in range(12)], "file string, position long, from_id string, to_id string, label string")
     got = [r["line"] for r in O.digest(notes, links, {"WHO": ["one", "two"]}).collect()]
     assert got == ["=WHO=", "one", "two", "=MOMENTS[2024-01-02]=", "???|t_u|0.95|SENSITIVE", 'ANN|a day at sea|SENSITIVE|0.9', "???|0.5|ORIGIN", "=TUNNELS=", *(f"l{k}" for k in range(8))]
+
+
+def test_archive_makes_lines_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    line = F.udf(lambda k: made.add(1) or f"line {k}", "string")
+    rows = spark.range(20).select(F.concat(F.lit("f"), F.col("id") % 3).alias("file"), F.lit(2).alias("part"), F.col("id").alias("position"), line("id").alias("line"))
+    got = [tuple(r) for r in O.archive(rows).collect()]
+    assert made.value == 20 and len(got) == 23 and got == sorted(got) and [r[3] for r in got if r[1] == O.END] == ["---"] * 3
