@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,9 +181,27 @@ def prose(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.array(kept, text), lambda x: x != ""), F.lit(0)), text)
 
 
+def needles(pattern: str) -> list[tuple[str, ...]]:
+    """What a text must hold for a pattern of MARKERS to hit: of each tuple one. Plain letters and blanks outside groups, and the
+    alternatives of groups, are taken; what may be absent is left out."""
+    plain = lambda p: max(re.split(r"[a-z '_-]\?|\.\*|\[[^]]*\]\+|\\[bd*.]\+?", p), key=len)
+    found = []
+    for part in re.split(r"(\([^()]*\)\??)", pattern):
+        if part.endswith(")"):
+            found.append(tuple(plain(p) for p in part[1:-1].split("|")))
+        elif not part.endswith("?"):
+            found += [(p,) for p in map(plain, part.split(".*"))]
+    return [f for f in found if all(len(x) > 1 for x in f)]
+
+
 def marker_hits(low: Column, kind: str) -> Column:
-    """Hits of a kind's patterns in a lower-case text."""
-    return sum((F.regexp_count(low, F.lit("(?d)" + m)) for m in MARKERS[kind]), F.lit(0))
+    """Hits of a kind's patterns in a lower-case text. A search for plain letters first leaves out most texts, and is many times faster."""
+    hits = F.lit(0)
+    for m in MARKERS[kind]:
+        must = [reduce(or_, (low.contains(x) for x in f)) for f in needles(m)]
+        count = F.regexp_count(low, F.lit("(?d)" + m))
+        hits = hits + (F.when(~reduce(and_, must), 0).otherwise(count) if must else count)
+    return hits
 
 
 def sentiment(text: Column) -> Column:

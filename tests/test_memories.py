@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -111,3 +112,25 @@ def test_characters_that_mark_nothing(spark):
     assert got == [odd, odd, texts[2], odd, texts[4]]
     assert df.select(exchange_units(F.col("t"), least=0)).collect()[4][0] == [f"> one {odd}\nanswer {odd}", "> two\nb", "> three\nc"]
     assert df.select(segments(F.col("t"))).collect()[4][0] == [f"> one {odd}\nanswer {odd}", "> two\nb", "> three\nc"]
+
+
+def test_needles(spark):
+    """No pattern hits a text without its needles, and hits are those of the patterns alone."""
+    rng = random.Random(4)
+    texts = []
+    for pattern in (m for kind in M.MARKERS.values() for m in kind):
+        for _ in range(4):
+            text = re.sub(r"\(([^()]*)\)\?", lambda g: rng.choice(["", rng.choice(g[1].split("|"))]), pattern)
+            text = re.sub(r"\(([^()]*)\)", lambda g: rng.choice(g[1].split("|")), text)
+            text = re.sub(r"\[\^\*\]\+", "so", re.sub(r"([a-z'_-])\?", lambda g: rng.choice(["", g[1]]), text).replace(".*", " x "))
+            text = text.replace(r"\b", "").replace(r"\d", "7").replace("7+", "12").replace("\\", "")
+            text += "so" if text.endswith(" ") else ""
+            assert re.search(pattern, text), (pattern, text)
+            assert all(any(x in text for x in f) for f in M.needles(pattern)), (pattern, text)
+            texts.append(text)
+    texts += [" ".join(rng.choices(texts, k=6)) for _ in range(50)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "t string")
+    for kind, patterns in M.MARKERS.items():
+        got = [tuple(r) for r in df.select("t", M.marker_hits(F.col("t"), kind)).collect()]
+        assert got == [(t, None if t is None else sum(len(re.findall(m, t)) for m in patterns)) for t, _ in got]
+    assert sum(bool(M.needles(m)) for kind in M.MARKERS.values() for m in kind) >= 115
