@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lorekeep.functions.noise import strip
+from lorekeep.functions.once import once
 
 # Signals in texts, with the codes they stand for, and words that are no topics.
 MOODS = {
@@ -81,8 +82,7 @@ DECISIVE = "decided because instead prefer switched chose realized important key
 
 def signals(text: Column, codes: dict[str, str], most: int = 3) -> Column:
     """The first distinct codes whose signals are in ``text``, in the order of ``codes``."""
-    low = F.lower(text)
-    found = F.array(*(F.when(low.contains(signal), code) for signal, code in codes.items()))
+    found = once(F.lower(text), lambda low: F.array(*(F.when(low.contains(signal), code) for signal, code in codes.items())))
     return F.slice(F.array_distinct(F.array_compact(found)), 1, most)
 
 
@@ -108,7 +108,7 @@ def topics(text: Column, most: int = 3) -> Column:
             F.when(same, a["best"]).otherwise(settled(a)).alias("best"),
         )
 
-    return F.transform(F.aggregate(F.array_sort(used), start, add, settled), lambda t: t["word"])
+    return F.transform(F.aggregate(F.sort_array(used), start, add, settled), lambda t: t["word"])
 
 
 def key_sentence(text: Column, most: int = 55) -> Column:
@@ -120,16 +120,19 @@ def key_sentence(text: Column, most: int = 55) -> Column:
         hits = sum((F.when(low.contains(w), 2).otherwise(0) for w in DECISIVE), F.lit(0))
         return hits + F.when(n < 80, 1).otherwise(0) + F.when(n < 40, 1).otherwise(0) - F.when(n > 150, 2).otherwise(0)
 
-    scores = F.zip_with(sentences, F.transform(sentences, F.lower), score)
-    first = F.array_position(scores, F.array_max(scores)).cast("int")
-    best = F.when(F.size(sentences) > 0, F.get(sentences, first - 1))
-    return F.when(F.length(best) > most, F.concat(F.substring(best, 1, most - 3), F.lit("..."))).otherwise(best)
+    def first(found: Column) -> Column:
+        scores = F.zip_with(found, F.transform(found, F.lower), score)
+        return once(scores, lambda s: F.when(F.size(found) > 0, F.get(found, F.array_position(s, F.array_max(s)).cast("int") - 1)))
+
+    shown = lambda best: F.when(F.length(best) > most, F.concat(F.substring(best, 1, most - 3), F.lit("..."))).otherwise(best)
+    return once(once(sentences, first), shown)
 
 
 def name_codes(text: Column, known: dict[str, str] | None = None, most: int = 3) -> Column:
     """Codes of known names; without one, the first letters of capitalised words that don't begin the text."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    bare = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
+    later = once(words, lambda ws: F.slice(ws, F.lit(2), F.greatest(F.size(ws), F.lit(1))))
+    bare = F.transform(later, lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
     names = F.filter(bare, lambda w: w.rlike("^[A-Z][a-z]+$") & ~F.lower(w).isin(STOP))
     guessed = F.array_distinct(F.transform(names, lambda w: F.upper(F.substring(w, 1, 3))))
     if not known:
@@ -140,7 +143,7 @@ def name_codes(text: Column, known: dict[str, str] | None = None, most: int = 3)
 
 
 def _or(parts: Column, sep: str, otherwise: str | None) -> Column:
-    return F.when(F.size(parts) > 0, F.array_join(parts, sep)).otherwise(F.lit(otherwise))
+    return once(parts, lambda p: F.when(F.size(p) > 0, F.array_join(p, sep)).otherwise(F.lit(otherwise)))
 
 
 def compact(text: Column, known: dict[str, str] | None = None) -> Column:

@@ -134,3 +134,10 @@ def test_needles(spark):
         got = [tuple(r) for r in df.select("t", M.marker_hits(F.col("t"), kind)).collect()]
         assert got == [(t, None if t is None else sum(len(re.findall(m, t)) for m in patterns)) for t, _ in got]
     assert sum(bool(M.needles(m)) for kind in M.MARKERS.values() for m in kind) >= 115
+
+
+def test_summary_evaluates_once(spark):
+    """Words, sentences and lower-case texts are each mentioned once: in branches and lambdas each mention is evaluated."""
+    plan = spark.createDataFrame([], "d string").select(S.compact(F.col("d")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == plan.count("[.!?") == 1
+    assert plan.count("lower(d#") == 2  # of moods and of flags
