@@ -13,6 +13,11 @@ Op9's contract has 3 words and 90 percent, the defaults; the numbers below are f
    passage that many documents share makes no key unless all else in a range is equal too.
 2. Candidates. Keys that two classes share connect them to the key's least class; connected components of this
    graph are the groups that have to be compared, and hold every link.
+   Below RANGES_FROM percent a range holds few shingles (4.5 at 80), so documents that share a passage agree on one, and more
+   so the more documents there are, until nearly all are one group. There a set's keys are its rare shingles: in one order of
+   all shingles (those in the lowest part of the hash space first, by how many documents have them; then the others, by hash)
+   linked sets share one of the first n - ceil(percent * n / 100) + 1. That part is twice as large as what may differ, so only it
+   is counted. Shingles that one document alone has fill most of those places, and connect nothing.
 3. Prefix trees. A group's sets, shingles in one order for all (frequent first, then by hash), go into a tree in
    which common beginnings are stored once. Each set walks the tree: overlaps with a shared beginning are counted
    once for all sets below it, and a subtree is left as soon as the overlap so far plus what can remain (of the set, or
@@ -20,8 +25,8 @@ Op9's contract has 3 words and 90 percent, the defaults; the numbers below are f
    walking set's component are skipped, which makes a group of near copies linear.
 4. Groups over ``block_tokens`` shingles are split into blocks. First each block is walked together with the group's
    least class, which joins a large group of near copies at once. Passages that many documents share can make such a
-   group of documents that don't link, so its sets then get keys that passages don't fill: in one order of all the
-   shingles of large groups, rare ones first, linked sets share one of the first n - ceil(percent * n / 100) + 1. Groups of
+   group of documents that don't link, so its sets then get keys that passages don't fill: rare shingles, counted over the
+   whole hash space and the large groups alone. Groups of
    what these keys still connect across components are formed anew, and all pairs of their blocks are walked. No
    link is lost, and no task holds more than two blocks.
 
@@ -59,6 +64,8 @@ REMEMBERED = 400_000
 SPARE = 2
 #: Words of a shingle and percentage of op9's contract.
 SIZE, PERCENT = 3, 90
+#: From this percentage on ranges are keys, below it rare shingles.
+RANGES_FROM = 90
 #: Classes (8 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SETS = "doc_id long, n long, sig binary, keys array<long>"
@@ -132,8 +139,23 @@ def range_keys(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def first_of(n: int, percent: int) -> int:
+    """So many of a set's shingles, in any order for all sets, have one in common with each set that it links to."""
+    return n - -(-percent * n // 100) + 1
+
+
+def counted(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of which the rarest can be keys: those in the lowest part of the hash space, and the next ones where that
+    part has too few of them. Sets that only equal ones link to have none."""
+    if len(tokens) < starts(percent)[0]:
+        return np.empty(0, np.int64)
+    part = min((1 << 64) - 1, (2 * (100 - percent) << 64) // 100)
+    return tokens[: max(first_of(len(tokens), percent), int(np.searchsorted(tokens, np.uint64(part), "right")))].view(np.int64)
+
+
 def sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, sig, keys) of (doc_id, body)."""
+    """(doc_id, n, sig, keys) of (doc_id, body); below RANGES_FROM percent the keys are what ``_rare`` chooses from."""
+    keys_of = range_keys if percent >= RANGES_FROM else counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -143,7 +165,7 @@ def sets(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
                 tokens = shingles(text.as_py(), known, size)
                 n.append(len(tokens))
                 sig.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-                keys.append(range_keys(tokens, percent))
+                keys.append(keys_of(tokens, percent))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             values = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)]
@@ -338,8 +360,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = runtime.store(found.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     total = classes.count()
-    keyed = wide.select("doc_id", "keys").join(_small(reps.select("doc_id"), total), "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
-
+    keyed = wide.select("doc_id", "n", "keys").join(_small(reps.select("doc_id"), total), "doc_id", "left_semi")
+    if percent >= RANGES_FROM:
+        keyed = keyed.select("doc_id", F.explode("keys").alias("key"))
+    else:
+        keyed = runtime.store(_rare(keyed, percent), "jaccard-rare")
     groups = components(_candidates(keyed))
     runtime.drop(wide)
     blocks = runtime.store(_blocks(groups, reps, block_tokens), "jaccard-blocks")
@@ -361,9 +386,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
-def _rare(docs: DataFrame, large: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, key): the first shingles, by (documents that have it, hash), of the sets of large groups, without those that
-    one set alone has. What a set has alone comes first, so that most sets have nothing else there and are left out."""
+def _rare(rows: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, key) of (doc_id, n, keys): the first of a set's shingles, by (documents that have it, hash), without those
+    that one set alone has. What a set has alone comes first, so that most sets have nothing else there and are left out.
+
+    ``keys`` are all shingles or what ``counted`` leaves of them: then a shingle behind the lowest part is there only in sets
+    of which all of ``keys`` are first, so no order of it matters.
+    """
+    # A window counts in the one shuffle that a join would need twice; it spills, and a shingle is a small part of any set.
+    times = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    shared = rows.select("doc_id", "n", F.size("keys").alias("of"), F.explode("keys").alias("key")).withColumn("times", times).where("times > 1")
+    # Sets of one doc_id with so many shingles are taken together, which can only give them more keys.
+    held = shared.groupBy("doc_id", "n", "of").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("held"))
+    alone = F.col("of") - F.size("held")
+    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - alone
+    return held.where(first > 0).select("doc_id", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("k")).select("doc_id", "k.key")
+
+
+def _all_shingles(docs: DataFrame, large: DataFrame, size: int) -> DataFrame:
+    """(doc_id, n, keys) of the sets of large groups: all their shingles."""
     picked = docs.join(_small(large.select("doc_id"), large.count()), "doc_id", "left_semi").select("doc_id", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,21 +415,13 @@ def _rare(docs: DataFrame, large: DataFrame, size: int, percent: int) -> DataFra
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in found], pa.int64()), keys], names=["doc_id", "n", "keys"])
 
-    rows = picked.mapInArrow(run, "doc_id long, n long, keys array<long>")
-    # A window counts in the one shuffle that a join would need twice; it spills, and a shingle is a small part of any set.
-    times = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = rows.select("doc_id", "n", F.explode("keys").alias("key")).withColumn("times", times).where("times > 1")
-    # Sets of one doc_id and size are taken together, which can only give them more keys.
-    held = shared.groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("held"))
-    alone = F.col("n") - F.size("held")
-    first = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - alone
-    return held.where(first > 0).select("doc_id", F.explode(F.slice("held", F.lit(1), first.cast("int"))).alias("k")).select("doc_id", "k.key")
+    return picked.mapInArrow(run, "doc_id long, n long, keys array<long>")
 
 
 def _across(docs: DataFrame, large: DataFrame, labels: DataFrame, reps: DataFrame, block_tokens: int, size: int, percent: int) -> DataFrame:
     """Edges across the components that the first pass left inside groups of more than one block."""
     now = labels.select(F.col("id").alias("doc_id"), "label")
-    inside = runtime.store(_rare(docs, large, size, percent), "jaccard-rare").join(now, "doc_id", "left")
+    inside = runtime.store(_rare(_all_shingles(docs, large, size), percent), "jaccard-rare").join(now, "doc_id", "left")
     inside = inside.withColumn("label", F.coalesce("label", "doc_id"))
     mixed = inside.join(inside.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "key", "left_semi")
     blocks = runtime.store(_blocks(components(_candidates(mixed.select("doc_id", "key"))), reps, block_tokens), "jaccard-blocks")

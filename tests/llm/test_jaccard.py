@@ -181,3 +181,45 @@ def test_keys_meet_at_80():
             linked += 1
             assert set(jaccard.range_keys(a, 80).tolist()) & set(jaccard.range_keys(b, 80).tolist())
     assert linked > 1000
+
+
+@pytest.mark.parametrize(("size", "percent"), [(3, 60), (2, 85), (1, 50)])
+def test_rare_shingles_as_keys(spark, size, percent):
+    docs = corpus(12, 150)
+    assert run(spark, docs, size=size, percent=percent) == brute_at(docs, size, percent)
+
+
+def test_shared_passage_makes_no_large_group(spark, monkeypatch):
+    """Documents that share a passage and nothing else aren't candidates: their number doesn't make groups grow."""
+    rng = random.Random(13)
+    passage = " ".join(f"p{i}" for i in range(150))
+    docs = [(i, passage + " " + " ".join(f"d{i}x{k}" for k in range(rng.randrange(300, 400)))) for i in range(120)]
+    docs += [(1000 + d, t + " end") for d, t in docs[:20]]
+    sizes, across = [], jaccard._across
+    monkeypatch.setattr(jaccard, "_across", lambda docs, large, *rest: (sizes.append(large.count()), across(docs, large, *rest))[1])
+    assert run(spark, docs, size=5, percent=80, block_tokens=2_000) == brute_at(docs, 5, 80)
+    assert not sizes
+
+
+def test_first_shingles_meet():
+    """Sets that link share one of their first counted shingles, however many documents have each."""
+    rng = np.random.default_rng(7)
+    linked = 0
+    for _ in range(2000):
+        percent, n = int(rng.choice([50, 65, 80, 89])), int(rng.choice([4, 5, 6, 9, 12, 25, 60, 400]))
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.concatenate((a[rng.permutation(n)[int(rng.integers(0, n * (100 - percent) // 100 + 1)) :]], rng.integers(0, 1 << 64, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)))
+        b = np.unique(b)
+        both = np.intersect1d(a, b)
+        if 100 * len(both) < percent * (len(a) + len(b) - len(both)) or np.array_equal(a, b):
+            continue
+        linked += 1
+        times = {int(x): 1 + int(rng.integers(1, 4)) if x in both else 1 + int(rng.integers(0, 3)) for x in np.union1d(a, b).view(np.int64)}
+        cut = int(np.uint64(min((1 << 64) - 1, (2 * (100 - percent) << 64) // 100)))
+        firsts = []
+        for s in (a, b):
+            keys = jaccard.counted(s, percent).view(np.uint64).tolist()
+            keys.sort(key=lambda x: (x > cut, times[int(np.uint64(x).view(np.int64))] if x <= cut else 0, x))
+            firsts.append(set(keys[: jaccard.first_of(len(s), percent)]))
+        assert firsts[0] & firsts[1]
+    assert linked > 500
