@@ -23,6 +23,8 @@ from lorekeep.engine.shared import drop, small, store
 HEAD = 12
 #: Partitions that the dictionary is dealt over, as each of its words has many keys.
 PARTS = 96
+#: Rows of a table of words that may be broadcast, and leading bits of a key that name a row of the map of keys (64 keys a row).
+WORDS, SLOT_BITS = 100_000, 18
 # Least characters of a token, characters of a short one, and edits that a short and a long one may need.
 LEAST, SHORT, FEW, MANY = 4, 7, 2, 3
 #: Tokens that are left alone have a digit, a hump, only capitals and signs, a hyphen or underscore, are places, or code.
@@ -67,6 +69,18 @@ def _deletions(words: DataFrame, edits: int) -> DataFrame:
     return out.select(*words.columns, F.xxhash64("_head").alias("key"))
 
 
+def _met(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (word, key) with those of ``index`` (key, ..) that have their key.
+
+    Both have many more keys than words, so that neither may be broadcast, nor looks as large as it is to the optimizer. A map of
+    ``asked``'s keys, a bit for each and 2 ** SLOT_BITS rows at most, is, and only what it lets through is shuffled."""
+    slot = F.shiftrightunsigned("key", 64 - SLOT_BITS).alias("slot")
+    bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    bits = store(asked.groupBy(slot).agg(F.bit_or(bit).alias("bits")), "spelling-bits")
+    likely = index.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits")
+    return likely.hint("merge").join(asked, "key")
+
+
 def corrections(tokens: DataFrame, words: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(word, correct) for each distinct bare token of ``tokens`` (word) that a word of the dictionary (word, times) is near
     enough to, and that is neither left alone, nor in the dictionary in lower case, nor one of ``names`` (name)."""
@@ -75,16 +89,16 @@ def corrections(tokens: DataFrame, words: DataFrame, names: DataFrame | None = N
     if names is not None:
         known = known.unionByName(names.select(F.lower("name").alias("low")))
     unknown = tokens.where(~left_alone(F.col("word"))).select("word").distinct().withColumn("low", F.lower("word"))
-    left = store(unknown.join(known.distinct(), "low", "left_anti").select("word"), "spelling-unknown")
+    left = store(unknown.join(known.distinct().hint("merge"), "low", "left_anti").select("word"), "spelling-unknown")
     index = words.select(F.col("word").alias("correct"), "times", "word")
     best = F.min_by("correct", F.struct(-F.col("times"), F.col("correct"))).alias("correct")
     found: list[DataFrame] = []
     for edits in range(1, MANY + 1):  # what is left has no word within fewer edits
         asked = store(_deletions(left.where(cap(F.col("word")) >= edits), edits), "spelling-asked")
-        met = small(asked).join(_deletions(index, edits).drop("word"), "key")
+        met = _met(asked, _deletions(index, edits).drop("word"))
         near = met.where((F.abs(F.length("word") - F.length("correct")) <= edits) & (F.levenshtein("word", "correct", edits) >= 0))
         found.append(store(near.groupBy("word").agg(best), "spelling-near"))
-        rest = store(left.join(small(found[-1].select("word")), "word", "left_anti"), "spelling-unknown")
+        rest = store(left.join(small(found[-1].select("word"), WORDS), "word", "left_anti"), "spelling-unknown")
         drop(left, asked)
         left = rest
     return reduce(DataFrame.unionByName, found)
@@ -94,7 +108,7 @@ def corrected(texts: DataFrame, words: DataFrame, names: DataFrame | None = None
     """``texts`` with mended tokens in ``text_col``. Ids are distinct; null texts stay null."""
     pieces = F.regexp_extract_all(text_col, F.lit(PIECES), 1)
     tokens = texts.select(id_col, F.explode(F.array_distinct(F.transform(pieces, bare))).alias("word")).where(~left_alone(F.col("word")))
-    found = small(store(corrections(tokens, words, names), "spelling-found"))
+    found = small(store(corrections(tokens, words, names), "spelling-found"), WORDS)
     mended = tokens.join(found, "word").groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "correct"))).alias("_mend"))
     mended = store(mended, "spelling-mended")
     fix = lambda p: F.coalesce(F.concat(F.try_element_at("_mend", bare(p)), F.substr(p, F.length(bare(p)) + 1)), p)

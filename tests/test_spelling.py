@@ -82,3 +82,23 @@ def test_common_heads(spark):
     assert spelling._deletions(asked, 3).join(index, "key").select("word", "correct").distinct().count() < 0.3 * len(words) * len(tokens)
     want = {t: c for t in tokens if (c := brute(t, words))}
     assert dict(map(tuple, spelling.corrections(asked, df).collect())) == want and want
+
+
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """Deletions of the tokens and of the dictionary meet by a shuffle at any size: a driver has no room for either."""
+    plans, store = [], spelling.store
+    note = lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or store(df, name)
+    monkeypatch.setattr(spelling, "store", note)
+    words = spark.createDataFrame([("question", 5), ("really", 4), ("wonderful", 3)], "word string, times long")
+    asked = spark.createDataFrame([("questoin",), ("realy",), ("wodnerfull",), ("xxxxxxxx",)], "word string")
+    assert dict(map(tuple, spelling.corrections(asked, words).collect())) == {"questoin": "question", "realy": "really", "wodnerfull": "wonderful"}
+    near = [plan for name, plan in plans if name == "spelling-near"]
+    assert len(near) == 3 and all(re.search(r"SortMergeJoin \[key#", p) and not re.search(r"BroadcastHashJoin \[key#", p) for p in near)
+
+
+def test_map_of_keys(spark):
+    """Keys that share a row of the map, and those of either sign, are told apart."""
+    keys = [0, 1, 63, 64, -1, -64, 2**63 - 1, -(2**63), 1 << 46, (1 << 46) + 1, -(1 << 46)]
+    asked = spark.createDataFrame([("a", k) for k in keys[::2]], "word string, key long")
+    index = spark.createDataFrame([("b", k) for k in keys] * 2, "correct string, key long")
+    assert sorted(r["key"] for r in spelling._met(asked, index).collect()) == sorted(keys[::2] * 2)
