@@ -85,3 +85,16 @@ def test_nearest_without_direction(spark):
     held = R.nearest(vectors, queries, 9, keep=("label",), fits=("label",), zero=1.0, block=1, size=2)
     assert [r["vec_id"] for r in held.where("query_id = 8").orderBy("rank").collect()] == [2, 4, 6, 9]
     assert [r["distance"] for r in held.where("query_id = 1").orderBy("rank").collect()][-2:] == [1.0, 1.0]
+
+
+def test_similarity_as_sql(spark):
+    """Three places of a distance of six: SQL rounds the double times 1000, which is not the shortest decimal's half."""
+    import duckdb
+
+    from lorekeep.operators import retrieval as R
+
+    steps = [*range(0, 1_000_000, 500), 1_000_300, 1_250_500, 2_000_000]
+    rows = duckdb.execute("SELECT k, round(1 - k / 1000000.0::DOUBLE, 3) FROM (SELECT unnest(?::BIGINT[]) AS k) ORDER BY k", [steps]).fetchall()
+    df = spark.createDataFrame([(k,) for k in steps], "k long").select("k", R.similarity(F.col("k") / 1e6).alias("s"))
+    assert [tuple(map(repr, r)) for r in df.orderBy("k").collect()] == [tuple(map(repr, r)) for r in rows]
+    assert dict(rows)[126_500] == 0.874
