@@ -17,14 +17,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.engine.shared import drop, small, store
+from lorekeep.engine.shared import drop, sieve, small, store
 
 #: Characters of a word whose deletions are its keys.
 HEAD = 12
 #: Partitions that the dictionary is dealt over, as each of its words has many keys.
 PARTS = 96
-#: Rows of a table of words that may be broadcast, and leading bits of a key that name a row of the map of keys (64 keys a row).
-WORDS, SLOT_BITS = 100_000, 18
+#: Rows of a table of words that may be broadcast.
+WORDS = 100_000
 # Least characters of a token, characters of a short one, and edits that a short and a long one may need.
 LEAST, SHORT, FEW, MANY = 4, 7, 2, 3
 #: Tokens that are left alone have a digit, a hump, only capitals and signs, a hyphen or underscore, are places, or code.
@@ -72,12 +72,9 @@ def _deletions(words: DataFrame, edits: int) -> DataFrame:
 def _met(asked: DataFrame, index: DataFrame) -> DataFrame:
     """The rows of ``asked`` (word, key) with those of ``index`` (key, ..) that have their key.
 
-    Both have many more keys than words, so that neither may be broadcast, nor looks as large as it is to the optimizer. A map of
-    ``asked``'s keys, a bit for each and 2 ** SLOT_BITS rows at most, is, and only what it lets through is shuffled."""
-    slot = F.shiftrightunsigned("key", 64 - SLOT_BITS).alias("slot")
-    bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
-    bits = store(asked.groupBy(slot).agg(F.bit_or(bit).alias("bits")), "spelling-bits")
-    likely = index.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.col("bits").bitwiseAND(bit) != 0).drop("slot", "bits")
+    Both have many more keys than words, so that neither may be broadcast, nor looks as large as it is to the optimizer. What a map of
+    ``asked``'s keys lets through is shuffled."""
+    likely = sieve(index, F.col("key"), asked)
     return likely.hint("merge").join(asked, "key")
 
 

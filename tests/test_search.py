@@ -98,3 +98,25 @@ def test_similarity_as_sql(spark):
     df = spark.createDataFrame([(k,) for k in steps], "k long").select("k", R.similarity(F.col("k") / 1e6).alias("s"))
     assert [tuple(map(repr, r)) for r in df.orderBy("k").collect()] == [tuple(map(repr, r)) for r in rows]
     assert dict(rows)[126_500] == 0.874
+
+
+def test_words_in_parts(spark, monkeypatch):
+    """However many blocks of records there are, what leaves them is a few times the best of each query; results are those over all pairs."""
+    import random
+
+    from lorekeep.operators import retrieval as R
+
+    rng, counts, cells = random.Random(3), [], R.cells
+    held = {f"r{n:03d}": {"all", *rng.sample("abcdefghij", 4)} for n in range(600)}
+    asked = {q: {"all", *rng.sample("abcdefghij", 3)} for q in range(5)}
+    many = lambda *a: counts.append((met := cells(*a)).count()) or met
+    monkeypatch.setattr(R, "cells", many)
+    words = spark.createDataFrame([(q, t, 1.0) for q, w in asked.items() for t in w], "query_id long, token string, weight double")
+    want = {(q, i, round(s, 6)) for q, w in asked.items() for s, i in sorted(((len(w & h) / len(w), i) for i, h in held.items()), key=lambda x: (-x[0], x[1]))[:5]}
+    for struct in (False, True):
+        rows = spark.createDataFrame([(i, t) for i, h in held.items() for t in h], "id string, token string")
+        rows = rows.withColumn("id", F.struct(F.substring("id", 1, 2).alias("a"), F.substring("id", 3, 9).cast("int").alias("b"))) if struct else rows
+        found = R.best_by_words(rows, words, 5, size=10, count=600, first=2)
+        name = F.concat("id.a", F.lpad(F.col("id.b").cast("string"), 2, "0")) if struct else F.col("id")
+        assert {tuple(r) for r in found.select("query_id", name, "score").collect()} == want
+    assert sum(counts) < 2 * 0.5 * 5 * 5 * 60
