@@ -1,5 +1,7 @@
 """Search as one operator: modes, filters, context and explanations by example."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,10 @@ def test_words_in_parts(spark, monkeypatch):
         name = F.concat("id.a", F.lpad(F.col("id.b").cast("string"), 2, "0")) if struct else F.col("id")
         assert {tuple(r) for r in found.select("query_id", name, "score").collect()} == want
     assert sum(counts) < 2 * 0.5 * 5 * 5 * 60
+
+
+def test_near_pairs_make_no_row_for_each_word(spark, held):
+    queries = spark.createDataFrame([(1, "migration context", at(0.1), None, None, None, None)], QUERIES)
+    for mode in ("lexical", "hybrid"):
+        plan = S.search(*held, queries, mode, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "Join [query_id" in plan and not re.search(r"Join \[query_id#\d+L?, token#", plan)
