@@ -6,7 +6,9 @@ same result comes from rounds over whole tables.
 Records are sets of words; two are near if their Jaccard distance is under ``threshold``. Sets that equal one another are one, as
 all but the first of them go in any case. Sets of similar size are cut into more ranges of the hash space than near ones differ in
 words, so near sets have a range alike: what is in a range, with the source, is a key under which candidates meet. Keys
-that one record alone has are dropped at once, and only words of records that meet another are stored.
+that one record alone has are dropped at once, and only words of records that meet another are stored. Of candidates only those
+are compared that share as many keys as near sets are certain to, SPARE + 1 if one of the two has no empty range; and about as many
+pairs at a time as there are records, so that the words of pairs that lie on a disk at once grow with the records, not with the pairs.
 
 1. While keys have large groups, leaders are taken: records that come first under each of their keys, which nothing before can
    remove. Records near a leader go. A key has one leader at most, so a group of near copies of any size costs one
@@ -28,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from lorekeep.engine.shared import drop, small, store
+from lorekeep.engine.shared import drop, sieve, small, store
 
 #: Records of a source worth looking at, the least characters of a record that may stay, and what counts as near.
 LEAST_GROUP, SHORTEST, THRESHOLD = 5, 20, 0.15
@@ -90,8 +92,13 @@ def outcome(decisions: DataFrame) -> DataFrame:
 
 def keys(base: DataFrame, threshold: float) -> DataFrame:
     """(key, id) of (id, source, words): near sets of a source share a key."""
+    return _keyed(base, threshold).select("key", "id")
+
+
+def _keyed(base: DataFrame, threshold: float) -> DataFrame:
+    """``keys`` with ``need``: how many keys a near set shares with the record at least."""
     if threshold > RANGES_UP_TO:
-        return _word_keys(base, threshold)
+        return _word_keys(base, threshold).withColumn("need", F.lit(1))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +109,7 @@ def keys(base: DataFrame, threshold: float) -> DataFrame:
                 if end > start:
                     yield range_keys(batch.slice(start, end - start), threshold)
 
-    return base.select("id", F.xxhash64("source").alias("source"), "words").mapInArrow(made, StructType([StructField("key", LongType()), base.schema["id"]]))
+    return base.select("id", F.xxhash64("source").alias("source"), "words").mapInArrow(made, StructType([StructField("key", LongType()), base.schema["id"], StructField("need", IntegerType())]))
 
 
 def schemes(most: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +125,9 @@ def schemes(most: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_keys(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
-    """(key, id) of (id, source, words), words sorted: each set's ranges by its own bucket's scheme and by the one below. Sets differ in
-    fewer ranges than there are, by SPARE + 1 at least; empty ranges are keys only of sets that have more than SPARE of them."""
+    """(key, id, need) of (id, source, words), words sorted: each set's ranges by its own bucket's scheme and by the one below. Sets differ in
+    fewer ranges than there are, by SPARE + 1 at least; empty ranges are keys only of sets that have more than SPARE of them. All
+    ranges that a set without empty ones has alike with another are keys of both."""
     listed, source = batch.column("words"), batch.column("source").to_numpy().view(np.uint64)
     offsets = listed.offsets.to_numpy()
     words = listed.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
@@ -128,7 +136,7 @@ def range_keys(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
     own = np.searchsorted(lows, sizes, side="right") - 1
     row = np.repeat(np.arange(len(sizes)), sizes)
     spread = (words ^ np.uint64(1 << 63)) >> np.uint64(32)
-    found = []
+    found, gap = [], np.zeros(len(sizes), bool)
     for scheme in (own, own - 1):
         ranges = np.where(scheme >= 0, cut[np.maximum(scheme, 0)], 0)
         here = ranges[row] > 0
@@ -138,6 +146,7 @@ def range_keys(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (place[1:] != place[:-1])])
         sums, rows, places = np.add.reduceat(words[here], starts), at[starts], place[starts]
         filled = np.bincount(rows, minlength=len(sizes))
+        gap |= ranges > filled
         empty = np.flatnonzero(ranges - filled > SPARE)
         if len(empty):
             ends = np.searchsorted(rows, [empty, empty + 1])
@@ -151,7 +160,8 @@ def range_keys(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
         found.append((mixed ^ (mixed >> np.uint64(32)), rows))
     key = np.concatenate([k for k, _ in found] or [np.zeros(0, np.uint64)]).view(np.int64)
     rows = np.concatenate([r for _, r in found] or [np.zeros(0, np.int64)])
-    return pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(pa.array(rows))], names=["key", "id"])
+    need = np.where(gap, 1, SPARE + 1).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(key), batch.column("id").take(pa.array(rows)), pa.array(need[rows])], names=["key", "id", "need"])
 
 
 def _word_keys(base: DataFrame, threshold: float) -> DataFrame:
@@ -167,10 +177,25 @@ def _word_keys(base: DataFrame, threshold: float) -> DataFrame:
 
 
 def near(pairs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
-    """Those of (a, b), two ids, whose distance is under the threshold, each once."""
-    side = lambda x: base.select(F.col("id").alias(x), F.col("source").alias(f"{x}_source"), F.col("words").alias(f"{x}_words"))
-    pairs = small(store(pairs.distinct(), "dedup-pairs"))
-    both = side("b").join(pairs, "b").join(side("a"), "a").where("a_source = b_source")
+    """Those of (a, b, need), two ids in a row for each key they share, whose distance is under the threshold, each once."""
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    pairs = store(pairs.select("a", "b"), "dedup-pairs")
+    parts = max(-(-pairs.count() // max(base.count(), 1)), 1)
+    if parts == 1:
+        return _compared(small(pairs), pairs, base, threshold)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(parts))
+    cut = (store(pairs.where(part == i), "dedup-part") for i in range(parts))
+    return reduce(DataFrame.unionByName, [store(_compared(small(some), some, base, threshold), "dedup-compared") for some in cut])
+
+
+def _compared(marked: DataFrame, pairs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
+    """``near`` of distinct pairs; ``marked`` are the same, perhaps marked for a broadcast."""
+
+    def side(x: str) -> DataFrame:
+        held = sieve(base, F.xxhash64("id"), pairs.select(F.xxhash64(x).alias("key")))
+        return held.select(F.col("id").alias(x), F.col("source").alias(f"{x}_source"), F.col("words").alias(f"{x}_words"))
+
+    both = side("b").join(marked, "b").join(side("a"), "a").where("a_source = b_source")
     common = F.size(F.array_intersect("a_words", "b_words"))
     union = F.size("a_words") + F.size("b_words") - common
     return both.where(F.round((union - common) / union, 6) < threshold).select("a", "b")
@@ -178,8 +203,8 @@ def near(pairs: DataFrame, base: DataFrame, threshold: float) -> DataFrame:
 
 def removed(base: DataFrame, threshold: float, pairs_each: int = PAIRS, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """The ids that go, of (id, source, order, words) with distinct sets; empty ones meet nothing."""
-    met = keys(base, threshold).withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    met = store(met.where("here > 1").select("key", "id"), "dedup-met")
+    met = _keyed(base, threshold).withColumn("here", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    met = store(met.where("here > 1").select("key", "id", "need"), "dedup-met")
     ids = store(met.select("id").distinct(), "dedup-ids")
     base = store(base.join(small(ids), "id", "left_semi").withColumn("n", F.size("words")), "dedup-words")
     live = store(met.join(small(store(base.select("id", "order", "n"), "dedup-live")), "id"), "dedup-keys")
@@ -187,13 +212,13 @@ def removed(base: DataFrame, threshold: float, pairs_each: int = PAIRS, leader_r
     alike = lambda a, b: F.least(a, b) >= F.round(F.greatest(a, b) * (1 - threshold), 6)
     gone: list[DataFrame] = []
     for _ in range(leader_rounds):
-        first = store(live.groupBy("key").agg(F.min("order").alias("first"), F.min_by("n", "order").alias("first_n"), F.count(F.lit(1)).alias("here")).where("here > 1"), "dedup-first")
+        first = store(live.groupBy("key").agg(F.min("order").alias("first"), F.min_by("n", "order").alias("first_n"), F.min_by("need", "order").alias("first_need"), F.count(F.lit(1)).alias("here")).where("here > 1"), "dedup-first")
         load = first.agg(F.coalesce(F.sum(F.col("here") * (F.col("here") - 1) / 2), F.lit(0))).first()[0]
         if load <= pairs_each * live.select(F.approx_count_distinct("id")).first()[0]:
             break
         marked = live.join(first, "key", "left").withColumn("leads", F.coalesce(F.col("first") == F.col("order"), F.lit(True)))
         leaders = store(marked.groupBy("id").agg(F.bool_and("leads").alias("leads")).where("leads").select("id"), "dedup-leaders")
-        met = marked.where(~F.col("leads") & alike(F.col("n"), F.col("first_n"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+        met = marked.where(~F.col("leads") & alike(F.col("n"), F.col("first_n"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"), F.greatest("need", "first_need").alias("need"))
         led = met.join(small(leaders.withColumnRenamed("id", "a")), "a", "left_semi")
         near_leader = store(near(led, base, threshold).select(F.col("b").alias("id")).distinct(), "dedup-near")
         after = store(live.join(small(leaders), "id", "left_anti").join(small(near_leader), "id", "left_anti"), "dedup-keys")
@@ -207,7 +232,8 @@ def removed(base: DataFrame, threshold: float, pairs_each: int = PAIRS, leader_r
 def _by_pairs(live: DataFrame, base: DataFrame, threshold: float, alike) -> DataFrame:
     a, b = live.alias("a"), live.alias("b")
     meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.order") < F.col("b.order")) & alike(F.col("a.n"), F.col("b.n"))
-    edges = store(near(a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), base, threshold), "dedup-edges")
+    met = a.join(b, meet).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.greatest("a.need", "b.need").alias("need"))
+    edges = store(near(met, base, threshold), "dedup-edges")
     gone = [edges.limit(0).select(F.col("b").alias("id"))]
     while not edges.isEmpty():
         blocked = edges.select(F.col("b").alias("a")).distinct()

@@ -107,3 +107,42 @@ def test_keys_of_ranges(spark, threshold):
             apart, met = apart + far, met + (far and meet)
     assert near > 50 and apart > 100
     assert threshold > 0.15 or met < 0.2 * apart
+
+
+def test_shared_keys(spark):
+    """Near sets share as many keys as either needs, and a passage alike is not enough to be compared."""
+    rng = random.Random(4)
+    word = lambda: rng.randrange(-(2**63), 2**63)
+    sets = []
+    for size in [*range(2, 40, 3), 80, 150, 400, 900]:
+        for _ in range(6):
+            first = [word() for _ in range(size)]
+            gone = rng.randrange(1, max(2, size // 6))
+            sets += [sorted(set(first)), sorted({*first[gone:], *(word() for _ in range(rng.choice((0, gone // 2))))})]
+    df = spark.createDataFrame([(k, "s", w) for k, w in enumerate(sets)], "id long, source string, words array<long>")
+    found, need = {}, {}
+    for key, id_, least in map(tuple, dedup._keyed(df, 0.15).collect()):
+        found.setdefault(id_, set()).add(key)
+        need[id_] = least
+    near = strict = 0
+    for a in range(0, len(sets), 2):
+        x, y = set(sets[a]), set(sets[a + 1])
+        if x != y and round(1 - len(x & y) / len(x | y), 6) < 0.15:
+            least = max(need[a], need[a + 1])
+            near, strict = near + 1, strict + (least > 1)
+            assert len(found[a] & found[a + 1]) >= least
+    assert near > 20 and strict > 10
+
+
+def test_pairs_are_compared_in_parts(spark, monkeypatch):
+    """A chance key is no pair to compare, and words are shuffled for about as many pairs at a time as there are records."""
+    stored, store = [], dedup.store
+    monkeypatch.setattr(dedup, "store", lambda df, name: stored.append((name, store(df, name))) or stored[-1][1])
+    base = spark.createDataFrame([(f"r{k}", "s", [*range(100), 1000 + k]) for k in range(8)], "id string, source string, words array<long>")
+    pairs = [(f"r{a}", f"r{b}", 3) for a in range(8) for b in range(a)]
+    shared = spark.createDataFrame(pairs * 3, "a string, b string, need int")
+    got = sorted(map(tuple, dedup.near(shared, base, 0.15).collect()))
+    assert got == sorted((a, b) for a, b, _ in pairs)
+    parts = [df.count() for name, df in stored if name == "dedup-part"]
+    assert len(parts) == 4 and sum(parts) == 28
+    assert dedup.near(spark.createDataFrame(pairs * 2, "a string, b string, need int"), base, 0.15).count() == 0
