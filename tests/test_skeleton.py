@@ -1,6 +1,7 @@
 """Skeletons by example, against Python's own parser, and in ingest."""
 
 import ast
+import random
 
 from pyspark.sql import functions as F
 
@@ -196,3 +197,25 @@ def test_alike_statements_are_walked_once(monkeypatch):
     assert len(S.statements(code)) == 200 and len(calls) == 2
     for odd in ("a = (\\\n1)\\\n", "x = '''(\n''' \\\n\\", "def f(:\n  pass", "@d:\\\n\\", "\tif x:\n  y=1\r\n", "a==b=c", "x = [[[[[[1]]]]]]\ny: int = 2\n", "'a\n"):
         assert S.statements(odd) == walked(odd), odd
+
+
+PIECES = ["a", "def f", "class C", ":", "=", "==", "x = ", "(", ")", "[", "]", "{", "}", "'s'", '"t u"', "'''m\nn'''", "# c'\n", "#d(\n", " ", "  ", "\t", "\n", "\n", "\n    ", "\n  ", "\\\n", "\\", "'", '"', ":=", "+=", "@d", "import q", "return 1", "(a, b)", "{'k': (1)}", "\n\n", "\f", "漢字", "r", "R'x'", "%s", "async def g():", "if", "import_", "    '''doc'''", "\n@x\ndef h(): pass\n"]
+
+
+def test_outlined_in_pieces():
+    """Outermost statements one by one, with letters for words, give what the whole source gives."""
+    rng = random.Random(11)
+    for _ in range(8000):
+        code = "".join(rng.choices(PIECES, k=rng.randrange(1, 24)))
+        whole = S._outline(code, ())
+        assert S.skeleton(code) == ("" if whole is None else "\n".join(whole[0]).strip()), code
+
+
+def test_alike_functions_are_read_once(monkeypatch):
+    """However often a function or class comes, its statements are read once."""
+    read, old = [], S._statements
+    monkeypatch.setattr(S, "_statements", lambda code: read.append(len(code)) or old(code))
+    unit = "@once\ndef some_function_read_once(a, b):\n    '''Says.'''\n    if a:\n        return [b]\n\nclass SomeClassReadOnce:\n    size: int\n"
+    got = S.skeleton(unit * 500)
+    assert got.count("def some_function_read_once(a, b):\n    '''Says.'''") == 500 and got.count("@once") == 500
+    assert sum(read) <= 2 * len(unit)
